@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, topk
-from .common import read_table
+from . import bpe, decontaminate, token_store, topk
+from .common import read_table, shared_dir
+
+
+def _vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; all operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
+    token_store.write(read_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=0)
+    return token_store.document_index(spark, path)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +37,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_decontamination, op10_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_store, op8_bpe, op9_decontamination, op10_topk)}
 
 ORACLES: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE, "op10_topk": topk.ORACLE}
