@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, token_store, topk
+from . import bpe, decontaminate, substring_dedup, token_store, topk
 from .common import read_table, shared_dir
 
 
@@ -18,6 +18,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(read_table(spark, sf_dir, "documents"), window=20)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
     token_store.write(read_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -37,6 +41,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_store, op8_bpe, op9_decontamination, op10_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op4_token_store, op8_bpe, op9_decontamination, op10_topk)}
 
-ORACLES: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE, "op10_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_topk": topk.ORACLE}
