@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, substring_dedup, token_store, topk
+from . import bpe, decontaminate, near_dup, substring_dedup, token_store, topk
 from .common import read_table, shared_dir
 
 
@@ -28,6 +28,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_index(spark, path)
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(read_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -41,6 +45,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op4_token_store, op8_bpe, op9_decontamination, op10_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op4_token_store, op7_near_dup, op8_bpe, op9_decontamination, op10_topk)}
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.ORACLE, "op7_near_dup": near_dup.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_topk": topk.ORACLE}
