@@ -100,21 +100,29 @@ class Library:
     """The tokenizers library's encoding of whole texts, put together from cached chunks.
 
     A byte-level pre-tokenizer always starts a new piece at a space that a non-space follows, so a
-    text may be cut there, and pieces that many texts share need encoding once. Special
-    tokens hold no space and stay whole.
+    text may be cut there, and chunks that texts share need encoding once. New chunks are cut further where the
+    pre-tokenizer cuts too: at a newline between two non-spaces, and between letters and one last
+    punctuation mark. What is left is encoded in long strings; a token that begins with a space begins a chunk.
+    Special tokens hold no space and stay whole.
+
+    Keys of the cache are chunks without the space before them; those without one begin with
+    START, which no chunk after a space does.
     """
 
+    START, NEWLINE = " ", " \n"
+
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    inner = re.compile(r" (?:\s|$)")
+    inner, space = re.compile(r" (?:\s|$)"), re.compile(r"\s")
 
     def chunks(self, text: str) -> list[str]:
-        """All but the first start with the space before them."""
         parts = text.split(" ")
         if self.inner.search(text):
             whole = parts[:1]
@@ -124,28 +132,60 @@ class Library:
                 else:
                     whole[-1] += " " + p
             parts = whole
+        parts[0] = self.START + parts[0]
         return parts
 
+    def parts(self, key: str) -> list[str]:
+        """The keys that make up a key; itself, if nothing is known to cut it."""
+        if "\n" in key and key != self.NEWLINE:
+            lines = key.split("\n")
+            bare = [line.removeprefix(self.START) if n == 0 else line for n, line in enumerate(lines)]
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in bare):
+                out = self.parts(lines[0])
+                for line in lines[1:]:
+                    out += [self.NEWLINE, *self.parts(self.START + line)]
+                return out
+        elif key[-1:] in ",.;:!?" and (body := key[:-1].removeprefix(self.START)).isalpha() and max(body) < "\u2c00":
+            return [key[:-1], self.START + key[-1]]
+        return [key]
+
+    def _encode(self, keys: list[str]) -> None:
+        """Put keys that aren't cut into the cache."""
+        joined = [k for k in keys if k[:1] != self.START and not self.space.search(k)]
+        for a in range(0, len(joined), 2048):
+            some = joined[a : a + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + k for k in some])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("the tokenizer joins chunks across a space")
+            raw = ids.tobytes()
+            for k, i, j in zip(some, cuts, [*cuts[1:], len(raw)], strict=True):
+                self.young[k] = raw[i:j]
+        alone = [k for k in keys if k not in self.young]
+        for k, e in zip(alone, self.tokenizer.encode_batch_fast([k[1:] if k[:1] == self.START else " " + k for k in alone], add_special_tokens=False), strict=True):
+            self.young[k] = np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.chunks(t) for t in texts]
-        # the first chunk of a text has no space before it: marked by a character that no key else begins with
-        for s in split:
-            s[0] = "\0" + s[0]
         if len(self.young) > CHUNKS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = []
-        for chunk in set().union(*split).difference(young):
-            known = old.get(chunk)
-            if known is None:
-                new.append(chunk)
-            else:
-                young[chunk] = known
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            found = self.tokenizer.encode_batch_fast([c[1:] if c[:1] == "\0" else " " + c for c in some], add_special_tokens=False)
-            for c, e in zip(some, found, strict=True):
-                young[c] = np.array(e.ids, "<u4").tobytes()
+        cut, new = {}, set()
+        for key in set().union(*split).difference(young):
+            if key in old:
+                young[key] = old[key]
+                continue
+            parts = cut[key] = self.parts(key)
+            for x in parts:
+                if x not in young:
+                    if x in old:
+                        young[x] = old[x]
+                    else:
+                        new.add(x)
+        self._encode(list(new))
+        for key, parts in cut.items():
+            if len(parts) > 1:
+                young[key] = b"".join([young[x] for x in parts])
         return [b"".join(map(young.__getitem__, s)) for s in split]
 
 
