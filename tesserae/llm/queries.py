@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, near_dup, substring_dedup, token_store, topk, url_filter
+from . import bpe, decontaminate, language_id, line_dedup, near_dup, substring_dedup, token_store, topk, url_filter
 from .common import read_table, shared_dir
 
 
@@ -22,6 +22,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(read_table(spark, sf_dir, "documents"), window=20)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return language_id.predict(documents, language_id.train(documents))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -53,6 +58,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_line_dedup, op4_token_store, op6_url_filter, op7_near_dup, op8_bpe, op9_decontamination, op10_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_line_dedup, op4_token_store, op6_url_filter, op7_near_dup, op8_bpe, op9_decontamination, op10_topk)}
 
 ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op7_near_dup": near_dup.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_topk": topk.ORACLE}
