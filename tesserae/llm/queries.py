@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, line_dedup, near_dup, substring_dedup, token_store, topk, url_filter
+from . import bpe, decontaminate, language_id, line_dedup, near_dup, pii, substring_dedup, token_store, topk, url_filter
 from .common import read_table, shared_dir
 
 
@@ -37,6 +37,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_index(spark, path)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), url_filter.RULES, url_filter.labelled_urls(spark))
 
@@ -58,6 +62,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_line_dedup, op4_token_store, op6_url_filter, op7_near_dup, op8_bpe, op9_decontamination, op10_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_line_dedup, op4_token_store, op5_pii, op6_url_filter, op7_near_dup, op8_bpe, op9_decontamination, op10_topk)}
 
 ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op7_near_dup": near_dup.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_topk": topk.ORACLE}
