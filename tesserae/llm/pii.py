@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import ship, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window, size of embedding and of each direction's state; batches, texts of a batch and step size of the training.
-WINDOW, EMBEDDING, HIDDEN, STEPS, BATCH, RATE = 48, 12, 16, 240, 64, 0.012
+#: Characters of a window, size of embedding and of each direction's state; batches, texts of a batch and step size of the training, texts in all.
+WINDOW, EMBEDDING, HIDDEN, STEPS, BATCH, RATE, POOL = 48, 12, 16, 300, 64, 0.012, 4000
 #: Characters kept around a place that calls for the network, on each side.
 REACH = 24
 TAGS = 1 + 2 * len(KINDS)
@@ -281,8 +281,9 @@ class Network:
     def fit(self, texts: Texts, steps: int = STEPS) -> None:
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        pool = [texts.sample() for _ in range(POOL)]
         for step in range(1, steps + 1):
-            batch = [texts.sample() for _ in range(BATCH)]
+            batch = [pool[i] for i in texts.random.integers(0, len(pool), BATCH)]
             _, g = self.gradients(np.stack([codes(t) for t, _ in batch]), np.stack([y for _, y in batch]))
             rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, v in g.items():
