@@ -145,12 +145,15 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, spans): spans (start, end) of words under windows that start earlier elsewhere. docs: doc_id (not null), text."""
     spark = docs.sparkSession
+    # counts are written before they are joined: a join with a side that is dealt by an aggregate can't split a hot key
     # level 1: halves that occur more than once
     repeated = docs.select("text").mapInArrow(_count(window), "half long, n long").groupBy("half").agg(F.sum("n").alias("n")).where("n > 1").select("half")
+    repeated = shared_table(spark, repeated, "repeated")
     places = docs.mapInArrow(_places(window), "half long, region long, doc_id long, place long")
     places = shared_table(spark, places.join(repeated, "half", "left_semi"), "repeated-halves")
     # classes of equal regions: all but the first are repeated throughout
     classes = places.groupBy("half", "region").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = shared_table(spark, classes, "classes")
     later = places.join(classes.where("n > 1").drop("n"), ["half", "region"]).where(F.struct("doc_id", "place") > F.col("first"))
     start = F.shiftright("place", 16)
     later = later.select("doc_id", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0xFFFF)) + window).alias("end"))
@@ -160,6 +163,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = docs.join(asked, "doc_id").select("doc_id", "text", "places").mapInArrow(_windows(window), "half long, whole long, doc_id long, start long")
     windows = shared_table(spark, windows, "windows")
     first = windows.groupBy("half", "whole").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = shared_table(spark, first, "first-windows")
     again = windows.join(first, ["half", "whole"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", (F.col("start") + window).alias("end"))
     return later.unionByName(again).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
