@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import BROADCAST_ROWS, maybe_broadcast, shared_table
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,18 +17,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     spark = links.sparkSession
     edges = links.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    edges, before = shared_table(spark, edges, "links"), None
+    edges = shared_table(spark, edges, "links")
     while True:
-        # bit sums, as wide decimals would leave the codegen path
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("lo", "hi")).alias("x")).first()
-        if state["n"] == 0 or state == before:
+        n = edges.count()
+        # stars, if no node hangs under one and holds another, nor under two
+        inner = edges.select(F.col("lo").alias("hi")).distinct()
+        twice = edges.groupBy("hi").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hi")
+        if n == 0 or edges.select("hi").join(maybe_broadcast(inner, n), "hi", "left_semi").unionAll(twice).isEmpty():
             break
-        before = state
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u and v != m").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        large = _joined(spark, both, both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")), "u", 2 * n).where("v > u and v != m").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").where("lo != m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionAll(least.select(F.col("m").alias("lo"), "hi"))
+        if 2 * n > BROADCAST_ROWS:
+            least = shared_table(spark, least, "least")
+        small = _joined(spark, large, least, "hi", 2 * n).where("lo != m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionAll(least.select(F.col("m").alias("lo"), "hi"))
         edges = shared_table(spark, small.distinct(), "links")
     roots = edges.select(F.col("lo").alias("id")).distinct().withColumn("root", F.col("id"))
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("root")).unionAll(roots)
+
+
+def _joined(spark: SparkSession, rows: DataFrame, least: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows with the least neighbour of their key; where it isn't small it's written first, so that a hot key can be split."""
+    return rows.join(F.broadcast(least) if n <= BROADCAST_ROWS else shared_table(spark, least, "least"), key)

@@ -6,8 +6,8 @@ chooses one of the SLOTS minhash values (sometimes two, 1/threshold of them on a
 child named by its own value there. A similar pair stays together at a slot with a probability of its
 similarity, so the expected number of nodes that it shares doesn't fall with depth, while others part. Small nodes
 are compared exhaustively; larger ones branch on. TREES trees bring a linked pair's
-chance of never meeting below one in a million at the usual depths. A node that is still large at the last
-depth holds sets that are close to one another; all of it is put in one neighbourhood.
+chance of never meeting below one in a million at the usual depths. A large node whose members are close to one
+another on average, by a sample, would never part: all of it is put in one neighbourhood, as is what is still large at the last depth.
 
 Within nodes, minhash estimates (well below the threshold, so that no link is lost to their spread) make
 neighbourhoods by connected components. Inside a neighbourhood links are then confirmed on the full sets:
@@ -201,6 +201,21 @@ def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def _dense(lowest: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The nodes whose sampled members have the lowest similarity or more on average."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dense = []
+            for node, row in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
+                sig = np.frombuffer(b"".join(m["sig"] for m in row.as_py()), np.uint8).reshape(-1, SLOTS)
+                if (sig[:, None] == sig[None]).mean() >= lowest:
+                    dense.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(dense, pa.int64())], ["node"])
+
+    return run
+
+
 def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The member of each sample whose minhash values agree with the others' most."""
     for batch in batches:
@@ -252,18 +267,26 @@ def _neighbourhoods(reps: DataFrame, percent: int, trees: int, depth: int) -> Da
     rows = reps.select("doc_id", "sig").mapInArrow(_descend(lam, trees), "node long, doc_id long")
     links = []
     for level in range(1, depth + 1):
-        met = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # written first: a join with a side that is dealt by an aggregate can't split a hot node
+        met = shared_table(spark, rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "met")
         nodes = shared_table(spark, rows.join(met, "node"), "nodes")
         members = nodes.where(F.col("n") <= NODE).join(narrow, "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
         links.append(members.select("members").mapInArrow(_near(lowest), "a long, b long"))
         large = nodes.where(F.col("n") > NODE)
         if large.isEmpty():
             break
-        if level == depth:
-            heads = large.groupBy("node").agg(F.min("doc_id").alias("a"))
-            links.append(large.join(heads, "node").select("a", F.col("doc_id").alias("b")))
-        else:
-            rows = large.select("node", "doc_id").join(reps.select("doc_id", "sig"), "doc_id").select("node", "doc_id", "sig").mapInArrow(_descend(lam, trees), "node long, doc_id long").distinct()
+        # nodes that wouldn't part: near copies of one text
+        chosen = W.partitionBy("node").orderBy(F.xxhash64("doc_id"), "doc_id")
+        sample = large.select("node", "doc_id", F.row_number().over(chosen).alias("k")).where(F.col("k") <= SAMPLE).join(narrow, "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
+        dense = large.select("node").distinct() if level == depth else sample.mapInArrow(_dense(lowest), "node long")
+        dense = shared_table(spark, dense, "dense")
+        held = dense.count()
+        heads = large.groupBy("node").agg(F.min("doc_id").alias("a")).join(maybe_broadcast(dense, held), "node")
+        links.append(large.join(maybe_broadcast(heads, held), "node").select("a", F.col("doc_id").alias("b")))
+        apart = shared_table(spark, large.select("node", "doc_id").join(maybe_broadcast(dense, held), "node", "left_anti").join(reps.select("doc_id", "sig"), "doc_id").select("node", "doc_id", "sig"), "apart")
+        if level == depth or apart.isEmpty():
+            break
+        rows = apart.mapInArrow(_descend(lam, trees), "node long, doc_id long").distinct()
     every = links[0]
     for x in links[1:]:
         every = every.unionAll(x)
@@ -276,21 +299,23 @@ def _large(sets: DataFrame, percent: int) -> DataFrame:
     labels = None  # doc_id, label: the hub that holds it
     left = sets.select("area", "doc_id", "sig")
     for _ in range(ROUNDS):
-        if left.isEmpty():
+        n = left.count()
+        if not n:
             break
         order = W.partitionBy("area").orderBy(F.xxhash64("doc_id"), "doc_id")
         sample = left.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).groupBy("area").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
         hubs = shared_table(spark, sample.mapInArrow(_hubs, "area long, hub long"), "hubs")
-        with_sets = hubs.join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
-        held = sets.join(left.select("doc_id"), "doc_id", "left_semi").select("area", "doc_id", "shingles").join(maybe_broadcast(with_sets, hubs.count(), 64), "area").mapInArrow(_to_hub(percent), "doc_id long, label long")
+        areas = hubs.count()
+        with_sets = sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hub_shingles")).join(maybe_broadcast(hubs, areas), "hub")
+        mine = sets.select("area", "doc_id", "shingles").join(maybe_broadcast(left.select("doc_id"), n), "doc_id", "left_semi")
+        held = mine.join(maybe_broadcast(with_sets, areas, 64), "area").mapInArrow(_to_hub(percent), "doc_id long, label long")
         held = shared_table(spark, held, "held")
         now = held.where("label is not null")
         labels = now if labels is None else labels.unionAll(now)
-        after = left.join(now, "doc_id", "left_anti")
-        left = shared_table(spark, after, "left")
+        left = shared_table(spark, left.join(maybe_broadcast(now, n), "doc_id", "left_anti"), "left")
     known = sets.select("area", "doc_id", "shingles").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     links = labels.select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
-    rest = sets.join(left.select("doc_id"), "doc_id", "left_semi").select("area", "doc_id", "shingles")
+    rest = shared_table(spark, sets.join(maybe_broadcast(left.select("doc_id"), left.count()), "doc_id", "left_semi").select("area", "doc_id", "shingles"), "rest")
     size = rest.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
     if size:
         known = shared_table(spark, known, "known")
@@ -315,18 +340,18 @@ def groups(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE, tree
     reps = full.join(classes.select("k1", "k2", "n_shingles", F.col("rep").alias("doc_id")), ["k1", "k2", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["k1", "k2", "doc_id"]).select("doc_id", "n_shingles", "sig")
     reps = shared_table(spark, reps, "representatives")
     areas = shared_table(spark, _neighbourhoods(reps, percent, trees, depth), "areas")
-    sizes = areas.join(reps.select(F.col("doc_id").alias("id"), "n_shingles"), "id").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    placed = shared_table(spark, areas.join(sizes, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("area"), ((F.col("n") <= MEMBERS) & (F.col("s") <= SHINGLES)).alias("small")), "placed")
-    n = placed.count()
-    in_area = docs.join(maybe_broadcast(placed, n), "doc_id")
+    found = areas.count()
+    sizes = reps.select(F.col("doc_id").alias("id"), "n_shingles").join(maybe_broadcast(areas, found), "id").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    placed = shared_table(spark, areas.join(maybe_broadcast(sizes, found), "root").select(F.col("id").alias("doc_id"), F.col("root").alias("area"), ((F.col("n") <= MEMBERS) & (F.col("s") <= SHINGLES)).alias("small")), "placed")
+    in_area = docs.join(maybe_broadcast(placed, found), "doc_id")
     small = in_area.where("small").select("area", "doc_id", "text").mapInArrow(_sets(shingle), "area long, doc_id long, shingles binary")
-    found = small.groupBy("area").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("members")).select("members").mapInArrow(_confirm(percent), "id long, root long")
+    linked_to = small.groupBy("area").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("members")).select("members").mapInArrow(_confirm(percent), "id long, root long")
     if not placed.where("not small").isEmpty():
         large = in_area.where("not small").select("area", "doc_id", "text").mapInArrow(_sets(shingle), "area long, doc_id long, shingles binary")
         large = shared_table(spark, large.join(reps.select("doc_id", "sig"), "doc_id"), "large")
-        found = found.unionAll(_large(large, percent))
-    found = shared_table(spark, found.groupBy("id").agg(F.min("root").alias("root")), "components")
-    out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"], "left").join(found.where("id != root"), F.col("rep") == F.col("id"), "left")
+        linked_to = linked_to.unionAll(_large(large, percent))
+    linked_to = shared_table(spark, linked_to.groupBy("id").agg(F.min("root").alias("root")).where("id != root"), "components")
+    out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"], "left").join(maybe_broadcast(linked_to, found), F.col("rep") == F.col("id"), "left")
     component = F.coalesce("root", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
