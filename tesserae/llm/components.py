@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, maybe_broadcast, shared_table
+from .common import BROADCAST_ROWS, shared_table
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,11 +19,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     edges = shared_table(spark, edges, "links")
     while True:
-        n = edges.count()
-        # stars, if no node hangs under one and holds another, nor under two
-        inner = edges.select(F.col("lo").alias("hi")).distinct()
-        twice = edges.groupBy("hi").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hi")
-        if n == 0 or edges.select("hi").join(maybe_broadcast(inner, n), "hi", "left_semi").unionAll(twice).isEmpty():
+        # stars, if each node hangs under one other at most and those under which any hangs under none
+        ends = edges.select(F.col("hi").alias("id"), F.lit(1).alias("h"), F.lit(0).alias("l")).unionAll(edges.select("lo", F.lit(0), F.lit(1)))
+        state = ends.groupBy("id").agg(F.sum("h").alias("h"), F.max("l").alias("l")).agg(F.sum("h").alias("n"), F.count_if(F.expr("h > 1 or h = 1 and l = 1")).alias("bad")).first()
+        n = state["n"] or 0
+        if not state["bad"]:
             break
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         large = _joined(spark, both, both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")), "u", 2 * n).where("v > u and v != m").select(F.col("m").alias("lo"), F.col("v").alias("hi"))

@@ -5,7 +5,7 @@ meet in a task. Class representatives go down independent trees: at a node, a ha
 chooses one of the SLOTS minhash values (sometimes two, 1/threshold of them on average) and a document moves to the
 child named by its own value there. A similar pair stays together at a slot with a probability of its
 similarity, so the expected number of nodes that it shares doesn't fall with depth, while others part. Small nodes
-are compared exhaustively; larger ones branch on. TREES trees bring a linked pair's
+are compared exhaustively; larger ones branch on, by several slots before they are counted again. TREES trees bring a linked pair's
 chance of never meeting below one in a million at the usual depths. A large node whose members are close to one
 another on average, by a sample, would never part: all of it is put in one neighbourhood, as is what is still large at the last depth.
 
@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from .common import Windows, byte_classes, hash_words, maybe_broadcast, mix, shared_table, ship, signed, slices, text_bytes
 from .components import components
 
-SHINGLE, SLOTS, TREES, DEPTH = 5, 64, 16, 8
+SHINGLE, SLOTS, TREES = 5, 64, 16
+#: Levels at which nodes are counted, and slots that a large node branches by between two of them.
+DEPTH, JUMP = 4, 3
 #: Members of a node that is compared exhaustively; how far below the threshold an estimate may lie, in standard deviations.
 NODE, DEVIATIONS = 64, 5
 #: Members and shingles of a neighbourhood that one task confirms; hub rounds and sample in larger ones; bytes of a block of sets sent to all tasks.
-MEMBERS, SHINGLES, ROUNDS, SAMPLE, BLOCK_BYTES = 256, 400_000, 4, 48, 24 << 20
+MEMBERS, SHINGLES, ROUNDS, SAMPLE, BLOCK_BYTES = 256, 400_000, 3, 48, 24 << 20
 _CLASSES = byte_classes("space", lower=True)
 _A = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 _B = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
@@ -111,11 +113,16 @@ def _descend(threshold: float, trees: int) -> Callable[[Iterator[pa.RecordBatch]
             if not batch.num_rows:
                 continue
             doc, sig = batch.column("doc_id").to_numpy(), _matrix(batch.column("sig"))
-            if "node" in batch.schema.names:
-                yield from step(batch.column("node").to_numpy().view(np.uint64), doc, sig)
-            else:
+            if "node" not in batch.schema.names:
                 for t in range(trees):
                     yield from step(np.full(len(doc), mix(np.full(1, t + 1, np.uint64))[0]), doc, sig)
+                continue
+            node, row = batch.column("node").to_numpy().view(np.uint64), np.arange(len(doc))
+            for _ in range(JUMP):
+                made = list(step(node, row, sig[row]))
+                node = np.concatenate([x.column("node").to_numpy().view(np.uint64) for x in made])
+                row = np.concatenate([x.column("doc_id").to_numpy() for x in made])
+            yield pa.RecordBatch.from_arrays([signed(node), pa.array(doc[row], pa.int64())], ["node", "doc_id"])
 
     return run
 
@@ -269,22 +276,27 @@ def _neighbourhoods(reps: DataFrame, percent: int, trees: int, depth: int) -> Da
     for level in range(1, depth + 1):
         # written first: a join with a side that is dealt by an aggregate can't split a hot node
         met = shared_table(spark, rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "met")
-        nodes = shared_table(spark, rows.join(met, "node"), "nodes")
-        members = nodes.where(F.col("n") <= NODE).join(narrow, "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
+        n = met.agg(F.sum("n")).first()[0] or 0
+        nodes = shared_table(spark, rows.join(maybe_broadcast(met, n), "node"), "nodes")
+        few = maybe_broadcast(nodes.where(F.col("n") <= NODE), n)
+        members = narrow.join(few, "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
         links.append(members.select("members").mapInArrow(_near(lowest), "a long, b long"))
         large = nodes.where(F.col("n") > NODE)
         if large.isEmpty():
             break
         # nodes that wouldn't part: near copies of one text
         chosen = W.partitionBy("node").orderBy(F.xxhash64("doc_id"), "doc_id")
-        sample = large.select("node", "doc_id", F.row_number().over(chosen).alias("k")).where(F.col("k") <= SAMPLE).join(narrow, "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
+        sample = narrow.join(maybe_broadcast(large.select("node", "doc_id", F.row_number().over(chosen).alias("k")).where(F.col("k") <= SAMPLE), n), "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
         dense = large.select("node").distinct() if level == depth else sample.mapInArrow(_dense(lowest), "node long")
         dense = shared_table(spark, dense, "dense")
         held = dense.count()
-        heads = large.groupBy("node").agg(F.min("doc_id").alias("a")).join(maybe_broadcast(dense, held), "node")
-        links.append(large.join(maybe_broadcast(heads, held), "node").select("a", F.col("doc_id").alias("b")))
-        apart = shared_table(spark, large.select("node", "doc_id").join(maybe_broadcast(dense, held), "node", "left_anti").join(reps.select("doc_id", "sig"), "doc_id").select("node", "doc_id", "sig"), "apart")
-        if level == depth or apart.isEmpty():
+        heads = large.join(maybe_broadcast(dense, held), "node").groupBy("node").agg(F.min("doc_id").alias("a"))
+        links.append(large.join(maybe_broadcast(heads, held), "node").select("a", F.col("doc_id").alias("b")).distinct())
+        if level == depth:
+            break
+        apart = large.select("node", "doc_id").join(maybe_broadcast(dense, held), "node", "left_anti")
+        apart = shared_table(spark, reps.select("doc_id", "sig").join(maybe_broadcast(apart, n), "doc_id").select("node", "doc_id", "sig"), "apart")
+        if apart.isEmpty():
             break
         rows = apart.mapInArrow(_descend(lam, trees), "node long, doc_id long").distinct()
     every = links[0]
@@ -300,7 +312,7 @@ def _large(sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select("area", "doc_id", "sig")
     for _ in range(ROUNDS):
         n = left.count()
-        if not n:
+        if n <= SAMPLE:  # few: compared with all members at once
             break
         order = W.partitionBy("area").orderBy(F.xxhash64("doc_id"), "doc_id")
         sample = left.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).groupBy("area").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
@@ -313,6 +325,8 @@ def _large(sets: DataFrame, percent: int) -> DataFrame:
         now = held.where("label is not null")
         labels = now if labels is None else labels.unionAll(now)
         left = shared_table(spark, left.join(maybe_broadcast(now, n), "doc_id", "left_anti"), "left")
+    if labels is None:
+        labels = left.select("doc_id", F.lit(None).cast("long").alias("label")).limit(0)
     known = sets.select("area", "doc_id", "shingles").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     links = labels.select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
     rest = shared_table(spark, sets.join(maybe_broadcast(left.select("doc_id"), left.count()), "doc_id", "left_semi").select("area", "doc_id", "shingles"), "rest")
