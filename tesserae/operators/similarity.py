@@ -33,6 +33,7 @@ def similar_pairs(df: DataFrame, group: str, key: str, threshold: float) -> Data
     rank = W.partitionBy(group, "k").orderBy("freq", "word")
     short = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     prefix = tokens.join(often, "word").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= short).select(group, "word", "k", "n")
+    prefix = shared_table(prefix, "prefixes")
     a, b = prefix.select(group, "word", F.col("k").alias("a"), F.col("n").alias("na")), prefix.select(group, "word", F.col("k").alias("b"), F.col("n").alias("nb"))
     met = a.join(b, [group, "word"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select(group, "a", "b").distinct()
     left = sets.select(group, F.col("k").alias("a"), F.col("words").alias("wa"))
