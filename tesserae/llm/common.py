@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,8 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
+from tesserae.sources import workspace
+
+
 #: Rows of a broadcast side; at 16 to 32 bytes a row that is a few MB. Larger sides are shuffled.
 BROADCAST_ROWS = 300_000
 
@@ -45,33 +44,12 @@ def ship(spark: SparkSession) -> None:
     sc._tesserae_shipped = True
 
 
-# --- tables in the folder that the cluster shares -------------------------------------------
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's own folder below spark.checkpoint.dir; removed when Python ends."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
-    place = f"{base.rstrip('/')}/tesserae-{sc.applicationId}"
-    if getattr(sc, "_tesserae_dir", None) != place:
-        sc._tesserae_dir = place
-        atexit.register(_remove, sc, place)
-    return place
-
-
-def _remove(sc, place: str) -> None:
-    try:
-        path = sc._jvm.org.apache.hadoop.fs.Path(place)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001  the session may have stopped already; nothing depends on this
-        pass
+# --- tables ---------------------------------------------------------------------------------
 
 
 def shared_table(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet below spark.checkpoint.dir and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df, written below spark.checkpoint.dir and read again."""
+    return workspace.shared_table(df, label)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

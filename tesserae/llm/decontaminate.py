@@ -17,7 +17,6 @@ either table are ignored by `contamination` and kept by `decontaminate`.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_classes, hash_words, maybe_broadcast, ship, slices, text_bytes
+from .common import byte_classes, hash_words, maybe_broadcast, shared_table, ship, slices, text_bytes
 
 #: Words of a window; words of benchmark items that one broadcast block holds.
 WINDOW, BLOCK_WORDS = 10, 2_000_000
@@ -211,8 +210,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without those that hold any window of the benchmark; columns stay as they are."""
-    from .common import shared_table
-
     bad = shared_table(documents.sparkSession, contamination(documents, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct(), "contaminated")
     return documents.join(maybe_broadcast(bad, bad.count()), documents["doc_id"].cast("long") == bad["_bad_id"], "left_anti")
 

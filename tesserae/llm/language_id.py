@@ -170,7 +170,6 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample / len(sizes) / n) * (1 << 30)))])
     chosen = learnt.withColumn("at", at).where(F.col("at") < F.element_at(share, F.col("lang"))).select("lang", "at", "text")
     rows = chosen.mapInArrow(_features, "lang string, at long, found binary, counts binary").collect()
-    # each language's share of the hash range is its own: spread by rank, not by value
     rows = sorted((hash_order(r["at"]), r["lang"], bytes(r["found"]), bytes(r["counts"])) for r in rows if len(r["found"]))
     model.fit([(lang, np.frombuffer(f, "<u2").astype(np.int64), np.frombuffer(c, "<u4")) for _, lang, f, c in rows])
     return model
@@ -186,8 +185,7 @@ def _predict(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         known: Model = model.value
         for batch in slices(batches, "text"):
             said = [known.predict(f, c) for f, c in bags(batch.column("text").to_pylist())]
-            kept = [c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return run
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.sources.workspace import shared_dir
+
 from . import bpe, decontaminate, language_id, line_dedup, near_dup, pii, substring_dedup, token_store, topk, url_filter
-from .common import read_table, shared_dir
+from .common import read_table
 
 
 def _vocabulary(name: str) -> str:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tesserae.llm import bpe, decontaminate, language_id, line_dedup, near_dup, pii, substring_dedup, token_store, topk, url_filter
-from tesserae.llm.common import shared_dir
+from tesserae.sources.workspace import shared_dir
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
