@@ -34,7 +34,7 @@ from .common import ship, slices
 #: Ids of a block and, about, of a segment; the percentile from which the width is chosen.
 BLOCK, SEGMENT, PERCENTILE = 1024, 1 << 16, 95
 #: Entries of a worker's cache of tokenised chunks, in two generations.
-CHUNKS = 400_000
+CHUNKS = 700_000
 
 # --- patched frame of reference -------------------------------------------------------------
 
@@ -174,14 +174,17 @@ class Library:
         for key in set().union(*split).difference(young):
             if key in old:
                 young[key] = old[key]
-                continue
-            parts = cut[key] = self.parts(key)
-            for x in parts:
-                if x not in young:
+            elif key[-1:] in ",.;:!?" or "\n" in key:
+                parts = cut[key] = self.parts(key)
+                for x in parts:
+                    if x in young:
+                        continue
                     if x in old:
                         young[x] = old[x]
                     else:
                         new.add(x)
+            else:
+                new.add(key)
         self._encode(list(new))
         for key, parts in cut.items():
             if len(parts) > 1:
