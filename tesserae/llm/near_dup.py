@@ -6,7 +6,7 @@ chooses one of the SLOTS minhash values (sometimes two, 1/threshold of them on a
 child named by its own value there. A similar pair stays together at a slot with a probability of its
 similarity, so the expected number of nodes that it shares doesn't fall with depth, while others part. Small nodes
 are compared exhaustively; larger ones branch on, by several slots before they are counted again. TREES trees bring a linked pair's
-chance of never meeting below one in a million at the usual depths. A large node whose members are close to one
+chance of never meeting to a few in a million at the usual depths. A large node whose members are close to one
 another on average, by a sample, would never part: all of it is put in one neighbourhood, as is what is still large at the last depth.
 
 Within nodes, minhash estimates (well below the threshold, so that no link is lost to their spread) make
@@ -25,6 +25,7 @@ are ignored by `groups` and kept by `deduplicate`.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,13 @@ from pyspark.sql import functions as F
 from .common import Windows, byte_classes, hash_words, maybe_broadcast, mix, shared_table, ship, signed, slices, text_bytes
 from .components import components
 
-SHINGLE, SLOTS, TREES = 5, 64, 16
+SHINGLE, SLOTS, TREES = 5, 64, 14
 #: Levels at which nodes are counted, and slots that a large node branches by between two of them.
-DEPTH, JUMP = 4, 3
+DEPTH, JUMP = 3, 5
 #: Members of a node that is compared exhaustively; how far below the threshold an estimate may lie, in standard deviations.
 NODE, DEVIATIONS = 64, 5
 #: Members and shingles of a neighbourhood that one task confirms; hub rounds and sample in larger ones; bytes of a block of sets sent to all tasks.
-MEMBERS, SHINGLES, ROUNDS, SAMPLE, BLOCK_BYTES = 256, 400_000, 3, 48, 24 << 20
+MEMBERS, SHINGLES, ROUNDS, SAMPLE, BLOCK_BYTES = 256, 400_000, 2, 48, 24 << 20
 _CLASSES = byte_classes("space", lower=True)
 _A = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 _B = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
@@ -272,15 +273,14 @@ def _neighbourhoods(reps: DataFrame, percent: int, trees: int, depth: int) -> Da
     lowest = lam - DEVIATIONS * (lam * (1 - lam) / SLOTS) ** 0.5
     narrow = reps.select("doc_id", "sig").mapInArrow(_narrow, "doc_id long, sig binary")
     rows = reps.select("doc_id", "sig").mapInArrow(_descend(lam, trees), "node long, doc_id long")
-    links = []
+    links, leaves, total = [], [], 0
     for level in range(1, depth + 1):
         # written first: a join with a side that is dealt by an aggregate can't split a hot node
         met = shared_table(spark, rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "met")
         n = met.agg(F.sum("n")).first()[0] or 0
         nodes = shared_table(spark, rows.join(maybe_broadcast(met, n), "node"), "nodes")
-        few = maybe_broadcast(nodes.where(F.col("n") <= NODE), n)
-        members = narrow.join(few, "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
-        links.append(members.select("members").mapInArrow(_near(lowest), "a long, b long"))
+        leaves.append(nodes.where(F.col("n") <= NODE).select("node", "doc_id"))
+        total += n
         large = nodes.where(F.col("n") > NODE)
         if large.isEmpty():
             break
@@ -298,11 +298,11 @@ def _neighbourhoods(reps: DataFrame, percent: int, trees: int, depth: int) -> Da
         apart = shared_table(spark, reps.select("doc_id", "sig").join(maybe_broadcast(apart, n), "doc_id").select("node", "doc_id", "sig"), "apart")
         if apart.isEmpty():
             break
-        rows = apart.mapInArrow(_descend(lam, trees), "node long, doc_id long").distinct()
-    every = links[0]
-    for x in links[1:]:
-        every = every.unionAll(x)
-    return components(every)
+        rows = apart.mapInArrow(_descend(lam, trees), "node long, doc_id long")
+    small = reduce(DataFrame.unionAll, leaves)
+    members = narrow.join(maybe_broadcast(small, total), "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
+    near = members.select("members").mapInArrow(_near(lowest), "a long, b long")
+    return components(reduce(DataFrame.unionAll, links, near))
 
 
 def _large(sets: DataFrame, percent: int) -> DataFrame:
