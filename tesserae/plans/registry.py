@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import scoring, text
-from tesserae.operators import compression, forget, graph, ingest, retrieval, scans, similarity, stats, vectors
+from tesserae.operators import compression, forget, graph, ingest, retrieval, scans, sessions, similarity, stats, vectors
 from tesserae.plans import sql as S
 from tesserae.sources import fixtures as X
 
@@ -80,7 +80,7 @@ def fits_in_budget(spark, d):
 def word_jaccard_pairs(spark, d):
     t = X.read(spark, d, "documents").select("source", "doc_id", text.word_set(F.col("text")).alias("words"))
     classes = similarity.word_classes(t, "source", "doc_id").where("doc_id = set_id").select("doc_id")
-    pairs = similarity.similar_pairs(t.join(classes, "doc_id", "left_semi"), "source", "doc_id", 0.5)
+    pairs = similarity.similar_pairs(t.join(classes, "doc_id", "left_semi"), "source", "doc_id", 0.85)
     return pairs.select("source", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -119,7 +119,7 @@ def source_priority(spark, d):
 def dedup_greedy(spark, d):
     scored, s = _scored(spark, d), X.summaries(spark, d)
     words = s.where("tier = 1").select("session_id", "id", text.word_set(F.col("content")).alias("words"))
-    return retrieval.dedup_greedy(scored, words, 0.5).select("session_id", "id")
+    return retrieval.dedup_greedy(scored, words, 0.7).select("session_id", "id")
 
 
 @query(S.BUDGET_FILL)
@@ -421,3 +421,93 @@ def store_relations(spark, d):
     s = ingest.store(_requests(spark, d))
     state = graph.relation_state(s.relations.select("seq", F.col("subject").alias("subject_id"), "predicate", F.col("object").alias("object_id"), F.timestamp_seconds(F.col("seq")).alias("temporal_start"), "confidence"))
     return state.select("seq", "subject_id", "predicate", "object_id", F.col("temporal_end").isNull().alias("active"), "confidence")
+
+
+# --- further getters and changes ------------------------------------------------------------
+
+
+def _relations(spark, d, column, value):
+    return scans.relations_by(X.graph(spark, d)[1], column, value).select("subject_id", "predicate", "object_id", "confidence")
+
+
+@query(S.RELATIONS_BY_SUBJECT)
+def relations_by_subject(spark, d):
+    return _relations(spark, d, "subject_id", "n3")
+
+
+@query(S.RELATIONS_BY_OBJECT)
+def relations_by_object(spark, d):
+    return _relations(spark, d, "object_id", "n3")
+
+
+@query(S.RELATIONS_BY_PREDICATE)
+def relations_by_predicate(spark, d):
+    return _relations(spark, d, "predicate", "PART_of")
+
+
+@query(S.ENTITY_BY_ID)
+def entity_by_id(spark, d):
+    return scans.by_id(X.graph(spark, d)[0], "n3").select("id", "label", "entity_type")
+
+
+@query(S.ALL_ENTITIES)
+def all_entities(spark, d):
+    return scans.all_entities(X.graph(spark, d)[0]).select("id", "label", _time("updated_at").alias("updated"))
+
+
+@query(S.SUMMARY_BY_ID)
+def summary_by_id(spark, d):
+    return scans.by_id(X.summaries(spark, d), "7").select("id", "tier", "token_count")
+
+
+@query(S.SUMMARIES_BY_SESSION)
+def summaries_by_session(spark, d):
+    return scans.summaries_by_session(X.summaries(spark, d), "src2").select("id", "tier", _time("created_at").alias("created"))
+
+
+@query(S.CORE_MEMORY)
+def core_memory(spark, d):
+    """Tier 3, newest first, by session."""
+    core = X.summaries(spark, d).where("tier = 3").select("session_id", F.struct((-F.col("seq")).alias("o"), text.preview(F.col("content"), 40).alias("c")).alias("x"))
+    return core.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"]), "\n").alias("text"))
+
+
+@query(S.SESSION_INFO)
+def session_info(spark, d):
+    s = sessions.end(X.sessions(spark, d), "1", X.AS_OF)
+    return sessions.info(s, "1").unionByName(sessions.info(s, "2")).select("id", _time("started_at").alias("started"), "is_active")
+
+
+@query(S.NEIGHBORS_REACH)
+def neighbors_reach(spark, d):
+    """Breadth-first to four hops from the regions."""
+    e, r = X.graph(spark, d)
+    return graph.reach(e.where("id = 'r1'"), r, 4).select("id", F.col("hop").cast("long").alias("hop"))
+
+
+@query(S.VECTORS_CHANGED)
+def vectors_changed(spark, d):
+    """Some vectors removed, some replaced by new ones of other content."""
+    v = X.vectors(spark, d).withColumn("source_id", F.col("id"))
+    kept = vectors.without(v, v.where("seq % 5 = 0").select("id"))
+    new = X.summaries(spark, d).where("seq < 20").select("id", F.col("id").alias("source_id"), F.lit("summary").alias("source_type"), "content", F.lit(0.9).alias("confidence"))
+    out = vectors.with_vectors(kept, new, vectors.zero_embedding(4), X.AS_OF)
+    return out.select("id", "source_type", F.size("embedding").cast("long").alias("dimensions"), F.coalesce("content_preview", F.lit("")).alias("preview"))
+
+
+@query(S.ACCESS_APPENDED)
+def access_appended(spark, d):
+    """The access log after a retrieval has added what it selected."""
+    c = retrieval.score(retrieval.working_candidates(X.buffer(spark, d)))
+    chosen = retrieval.selected_rows(retrieval.fill(c, FILL)).select(F.col("id").alias("memory_id"), F.col("source").alias("memory_type"), F.lit(X.AS_OF).cast("timestamp").alias("accessed_at"))
+    return stats.access_frequency(X.access_log(spark, d).unionByName(chosen))
+
+
+@query(S.CLEAR_SESSION)
+def clear_session(spark, d):
+    return sessions.without_session(X.buffer(spark, d), "1").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(S.STATUS_TEXT)
+def status_text(spark, d):
+    return stats.status_text(status(spark, d), "1", X.AS_OF)

@@ -71,7 +71,7 @@ WORD_JACCARD_PAIRS = f"""
 WITH t AS (SELECT source, doc_id, list_sort({_WORDS.format('text')}) AS w FROM documents),
 u AS (SELECT source, min(doc_id) AS doc_id, w FROM t WHERE len(w) > 0 GROUP BY source, w),
 p AS (SELECT x.source, x.doc_id AS a, y.doc_id AS b, {_JACCARD} AS similarity FROM u x JOIN u y ON x.source = y.source AND x.doc_id < y.doc_id)
-SELECT source, a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.5"""
+SELECT source, a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.85"""
 PROMPTS = "SELECT conv_id, turn, " + ", ".join("md5(concat('{}', text, '{}')) AS {}".format(*[x.replace("'", "''") for x in t.split("{text}")], name) for name, t in _PROMPTS.items()) + " FROM conversations"
 
 # --- retrieval ------------------------------------------------------------------------------
@@ -89,7 +89,7 @@ SOURCE_PRIORITY = f"SELECT conv_id, turn, [{', '.join(repr(k) for k in _KINDS)}]
 DEDUP_GREEDY = f"""
 WITH RECURSIVE {_SUMMARIES}, {_ACCESS}, {_SCORED},
 w AS (SELECT session_id, id, {_WORDS.format('content')} AS w FROM summaries WHERE tier = 1),
-near AS (SELECT x.session_id, x.id, list(y.id) AS near FROM w x JOIN w y ON x.session_id = y.session_id AND x.id <> y.id AND len(x.w) > 0 AND len(y.w) > 0 AND {_JACCARD} >= 0.5 GROUP BY 1, 2),
+near AS (SELECT x.session_id, x.id, list(y.id) AS near FROM w x JOIN w y ON x.session_id = y.session_id AND x.id <> y.id AND len(x.w) > 0 AND len(y.w) > 0 AND {_JACCARD} >= 0.7 GROUP BY 1, 2),
 ordered AS (SELECT s.session_id, s.id, score, coalesce(near, []) AS near, row_number() OVER (PARTITION BY s.session_id ORDER BY created_at DESC, s.id) AS n FROM scored s LEFT JOIN near USING (session_id, id)),
 fold AS (
   SELECT session_id, 0 AS n, CAST([] AS STRUCT(id VARCHAR, score DOUBLE)[]) AS kept FROM (SELECT DISTINCT session_id FROM ordered)
@@ -251,3 +251,30 @@ log AS (
   UNION ALL SELECT seq * 1000, 'User', 'prefers', role FROM judged WHERE quality <> 'rejected' AND kind = 'preference'
   UNION ALL SELECT seq * 1000 + 1, 'User', 'prefers', concat('conv', conv_id) FROM judged WHERE quality <> 'rejected' AND kind = 'preference'), {_FIFO}
 SELECT l.seq, l.subject_id, l.predicate, l.object_id, e.seq IS NULL AS active, CASE WHEN e.seq IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM log l LEFT JOIN ended e ON e.seq = l.seq"""
+
+# --- further getters and changes ------------------------------------------------------------
+
+_REL = f"WITH {_GRAPH} SELECT subject_id, predicate, object_id, confidence FROM relations WHERE "
+RELATIONS_BY_SUBJECT = _REL + "subject_id = 'n3'"
+RELATIONS_BY_OBJECT = _REL + "object_id = 'n3'"
+RELATIONS_BY_PREDICATE = _REL + "lower(predicate) = 'part_of'"
+ENTITY_BY_ID = f"WITH {_GRAPH} SELECT id, label, entity_type FROM entities WHERE id = 'n3'"
+ALL_ENTITIES = f"WITH {_GRAPH} SELECT id, label, strftime(TIMESTAMP '2024-01-01' + to_minutes(k), {_FMT}) AS updated FROM entities"
+SUMMARY_BY_ID = f"WITH {_SUMMARIES} SELECT id, tier, token_count FROM summaries WHERE id = '7'"
+SUMMARIES_BY_SESSION = f"WITH {_SUMMARIES} SELECT id, tier, strftime(created_at, {_FMT}) AS created FROM summaries WHERE session_id = 'src2'"
+CORE_MEMORY = f"WITH {_SUMMARIES} SELECT session_id, string_agg(CASE WHEN length(content) > 40 THEN concat(substring(content, 1, 40), '...') ELSE content END, chr(10) ORDER BY seq DESC) AS text FROM summaries WHERE tier = 3 GROUP BY 1"
+SESSION_INFO = f"WITH {_SESSIONS} SELECT id, strftime(started_at, {_FMT}) AS started, id <> '1' AND ended_at IS NULL AS is_active FROM sessions WHERE id IN ('1', '2')"
+NEIGHBORS_REACH = f"""WITH RECURSIVE {_GRAPH}, {_EDGES},
+walk AS (SELECT 'r1' AS id, CAST(0 AS BIGINT) AS hop UNION SELECT other, hop + 1 FROM walk JOIN edges ON near = id WHERE hop < 4)
+SELECT id, min(hop) AS hop FROM walk GROUP BY 1 HAVING min(hop) > 0"""
+VECTORS_CHANGED = f"""WITH {_VECTORS}, {_SUMMARIES}
+SELECT id, source_type, CAST(len(embedding) AS BIGINT) AS dimensions, '' AS preview FROM vectors WHERE seq % 5 <> 0 AND seq >= 20
+UNION ALL SELECT id, 'summary', 4, CASE WHEN length(content) > 200 THEN concat(substring(content, 1, 200), '...') ELSE content END FROM summaries WHERE seq < 20"""
+ACCESS_APPENDED = f"""{_CONTEXT}, log AS (SELECT CAST(user_id AS VARCHAR) AS memory_id FROM events UNION ALL SELECT 'working-memory' FROM made WHERE fits)
+SELECT memory_id, count(*) AS n FROM log GROUP BY 1"""
+CLEAR_SESSION = f"WITH {_BUFFER} SELECT session_id, count(*) AS n FROM buffer WHERE session_id <> '1' GROUP BY 1"
+STATUS_TEXT = f"""SELECT concat_ws(chr(10), '=== Memory Status ===', 'Session: 1... (started 2024-02-01 00:00:00)', '',
+  printf('Tier 0 (Working):  %d entries, ~%d tokens', tier0_count, tier0_tokens), printf('Tier 1 (Session):  %d entries, ~%d tokens', tier1_count, tier1_tokens),
+  printf('Tier 2 (Epoch):    %d entries, ~%d tokens', tier2_count, tier2_tokens), printf('Tier 3 (Core):     %d entries, ~%d tokens', tier3_count, tier3_tokens),
+  printf('Knowledge Graph:   %d entities, %d relations', entities, relations), printf('Vector Store:      %d vectors', vectors), printf('Total Tokens:      ~%d', total_tokens)) AS text
+FROM ({STATUS})"""
