@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import ship, slices
 
 #: Entries of a worker's cache of white-space-free chunks (two generations), and nodes of its trie, before they start anew.
-CHUNKS, NODES, PAIRS = 400_000, 600_000, 500_000
+CHUNKS, NODES, PAIRS = 150_000, 250_000, 250_000
 
 
 def byte_alphabet() -> list[str]:

@@ -76,7 +76,7 @@ def weigh(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that hold each bucket; one row for each bucket and task."""
     total = np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 1 << 20):
         for found, _ in bags(batch.column("text").to_pylist()):
             total[found] += 1
     some = np.flatnonzero(total)
@@ -84,7 +84,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 1 << 20):
         made = list(bags(batch.column("text").to_pylist()))
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("at"), pa.array([f.astype("<u2").tobytes() for f, _ in made], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in made], pa.binary())], ["lang", "at", "found", "counts"])
 
@@ -183,7 +183,7 @@ def hash_order(at: int) -> int:
 def _predict(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Model = model.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             said = [known.predict(f, c) for f, c in bags(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 

@@ -76,7 +76,7 @@ def minhashes(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def _sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             hashes, begins = shingle_sets(batch.column("text"), size)
             n = np.diff(begins)
             full = n > 0
@@ -164,7 +164,7 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             hashes, begins = shingle_sets(batch.column("text"), size)
             raw = hashes.astype("<u8").tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("area"), batch.column("doc_id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)], pa.binary())], ["area", "doc_id", "shingles"])
