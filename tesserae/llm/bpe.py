@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, slices
+from .common import ship, slices, worker_cache
 
 #: Entries of a worker's cache of white-space-free chunks (two generations), and nodes of its trie, before they start anew.
 CHUNKS, NODES, PAIRS = 150_000, 250_000, 250_000
@@ -198,7 +198,7 @@ class Coder:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODERS: dict[int, Coder] = {}
+_CODERS: dict[int, Coder] = worker_cache()
 
 
 def _coder(text) -> Coder:
@@ -225,7 +225,7 @@ def _texts(column: pa.Array, most: int = 1 << 19) -> Iterator[list[str]]:
 def _run(text, kinds: tuple[str, ...], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(text)
-        for batch in slices(batches, "ids" if kinds == ("decode",) else "text", 2 << 20):
+        for batch in slices(batches, "ids" if kinds == ("decode",) else "text", 2 << 20, _CODERS):
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             if "encode" in kinds:
                 ids = []

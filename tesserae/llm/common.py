@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tesserae.sources import workspace
 
-
 #: Rows of a broadcast side; at 16 to 32 bytes a row that is a few MB. Larger sides are shuffled.
 BROADCAST_ROWS = 300_000
 
@@ -177,8 +176,20 @@ class Windows:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of one hold about most_bytes (or are a single text)."""
+_CACHES: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dict that a worker keeps from task to task, until one of another operator begins in it."""
+    _CACHES.append(cache := {})
+    return cache
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, keep: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of one hold about most_bytes (or are a single text). Empties all caches but keep."""
+    for cache in _CACHES:
+        if cache is not keep:
+            cache.clear()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import ship, slices, worker_cache
 
 #: Ids of a block and, about, of a segment; the percentile from which the width is chosen.
 BLOCK, SEGMENT, PERCENTILE = 1024, 1 << 16, 95
@@ -192,7 +192,7 @@ class Library:
         return [b"".join(map(young.__getitem__, s)) for s in split]
 
 
-_LIBRARIES: dict[int, Library] = {}
+_LIBRARIES: dict[int, Library] = worker_cache()
 
 
 def _library(spec) -> Library:
@@ -225,7 +225,7 @@ def _segments(spec, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _SEGMENT, strict=True)], schema=_SEGMENT)
 
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", 1 << 19, _LIBRARIES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), library.encode(texts), strict=True):
                 held.append((doc_id, ids + end))
