@@ -5,8 +5,9 @@ meet in a task. Class representatives go down independent trees: at a node, a ha
 chooses one of the SLOTS minhash values (sometimes two, 1/threshold of them on average) and a document moves to the
 child named by its own value there. A similar pair stays together at a slot with a probability of its
 similarity, so the expected number of nodes that it shares doesn't fall with depth, while others part. Small nodes
-are compared exhaustively; larger ones branch on, by several slots before they are counted again. TREES trees bring a linked pair's
-chance of never meeting to a few in a million at the usual depths. A large node whose members are close to one
+are compared exhaustively, at the first slot where they are small; larger ones branch on, by JUMP slots of which all nodes are
+counted at once, and begin each time with several forks. There are as many forks as bring a linked pair's chance of never meeting
+in TREES trees to at most MISS, even if all its nodes stay large down to the last slot. A large node whose members are close to one
 another on average, by a sample, would never part: all of it is put in one neighbourhood, as is what is still large at the last depth.
 
 Within nodes, minhash estimates (well below the threshold, so that no link is lost to their spread) make
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +38,15 @@ from pyspark.sql import functions as F
 from .common import Windows, byte_classes, hash_words, maybe_broadcast, mix, shared_table, ship, signed, slices, text_bytes
 from .components import components
 
-SHINGLE, SLOTS, TREES = 5, 64, 14
-#: Levels at which nodes are counted, and slots that a large node branches by between two of them.
-DEPTH, JUMP = 3, 5
+SHINGLE, SLOTS, TREES = 5, 64, 16
+#: Levels at which nodes are counted, and slots that a large node branches by between two of them; chance of missing a linked pair, at most.
+DEPTH, JUMP, MISS = 3, 5, 1e-6
 #: Members of a node that is compared exhaustively; how far below the threshold an estimate may lie, in standard deviations.
 NODE, DEVIATIONS = 64, 5
 #: Members and shingles of a neighbourhood that one task confirms; hub rounds and sample in larger ones; bytes of a block of sets sent to all tasks.
 MEMBERS, SHINGLES, ROUNDS, SAMPLE, BLOCK_BYTES = 256, 400_000, 2, 48, 24 << 20
 _CLASSES = byte_classes("space", lower=True)
+_NODES = "node long, parent long, doc_id long, last boolean"
 _A = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 _B = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
@@ -97,17 +100,47 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SLOTS)
 
 
-def _descend(threshold: float, trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Children of (node, doc_id, sig) rows; without a node, of the trees' roots."""
+def missed(threshold: float, trees: int, forks: int, slots: int) -> float:
+    """Chance that a pair just at the threshold never meets, if all its nodes are large for so many slots.
+
+    Slots count as drawn independently; how many minhash values agree is binomial.
+    """
+    twice, total = min(1.0, 1 / threshold - 1), 0.0
+    for agree in range(SLOTS + 1):
+        s, apart = agree / SLOTS, 0.0
+        for k in reversed(range(slots)):
+            one = 1 - s + s * apart
+            apart = ((1 - twice) * one + twice * one * one) ** (forks if k % JUMP == 1 % JUMP and k else 1)
+        total += comb(SLOTS, agree) * threshold**agree * (1 - threshold) ** (SLOTS - agree) * apart**trees
+    return total
+
+
+def forks_for(threshold: float, trees: int, depth: int = DEPTH) -> int:
+    """The fewest forks of a large node with which a pair at the threshold is missed with a chance of at most MISS."""
+    slots = 1 + (depth - 1) * JUMP
+    return next((n for n in range(1, 64) if missed(threshold, trees, n, slots) <= MISS), 64)
+
+
+def _descend(threshold: float, trees: int, depth: int = DEPTH) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Nodes below those of (node, doc_id, sig) rows, of each of JUMP slots; without a node, children of the trees' roots.
+
+    A parent is null where it's known to be large; last marks the nodes that branch on if they are large.
+    """
     second = np.uint64(min(1.0, 1 / threshold - 1) * (2**64 - 1025))
+    forks = forks_for(threshold, trees, depth)
 
-    def step(node: np.ndarray, doc: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def step(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Children, and the rows that they come from."""
         slot = (mix(node ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(SLOTS)).astype(np.int64)
         twice = mix(node ^ np.uint64(0xBB67AE8584CAA73B)) < second
         other = (slot + 1 + (mix(node ^ np.uint64(0x510E527FADE682D1)) % np.uint64(SLOTS - 1)).astype(np.int64)) % SLOTS
-        for rows, chosen in ((np.arange(len(node)), slot), (np.flatnonzero(twice), other[twice])):
-            child = mix(node[rows] + np.uint64(0x9B05688C2B3E6C1F) * (chosen.astype(np.uint64) + np.uint64(1))) ^ mix(sig[rows, chosen].astype(np.uint64) + np.uint64(1))
-            yield pa.RecordBatch.from_arrays([signed(mix(child)), pa.array(doc[rows], pa.int64())], ["node", "doc_id"])
+        rows, chosen = np.concatenate([np.arange(len(node)), np.flatnonzero(twice)]), np.concatenate([slot, other[twice]])
+        child = mix(node[rows] + np.uint64(0x9B05688C2B3E6C1F) * (chosen.astype(np.uint64) + np.uint64(1))) ^ mix(sig[rows, chosen].astype(np.uint64) + np.uint64(1))
+        return mix(child), rows
+
+    def batch_of(node: np.ndarray, parent: np.ndarray | None, doc: np.ndarray, last: bool) -> pa.RecordBatch:
+        above = pa.nulls(len(node), pa.int64()) if parent is None else signed(parent)
+        return pa.RecordBatch.from_arrays([signed(node), above, pa.array(doc, pa.int64()), pa.array(np.full(len(node), last))], ["node", "parent", "doc_id", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,14 +149,16 @@ def _descend(threshold: float, trees: int) -> Callable[[Iterator[pa.RecordBatch]
             doc, sig = batch.column("doc_id").to_numpy(), _matrix(batch.column("sig"))
             if "node" not in batch.schema.names:
                 for t in range(trees):
-                    yield from step(np.full(len(doc), mix(np.full(1, t + 1, np.uint64))[0]), doc, sig)
+                    node, row = step(np.full(len(doc), mix(np.full(1, t + 1, np.uint64))[0]), sig)
+                    yield batch_of(node, None, doc[row], True)
                 continue
-            node, row = batch.column("node").to_numpy().view(np.uint64), np.arange(len(doc))
-            for _ in range(JUMP):
-                made = list(step(node, row, sig[row]))
-                node = np.concatenate([x.column("node").to_numpy().view(np.uint64) for x in made])
-                row = np.concatenate([x.column("doc_id").to_numpy() for x in made])
-            yield pa.RecordBatch.from_arrays([signed(node), pa.array(doc[row], pa.int64())], ["node", "doc_id"])
+            node, row = batch.column("node").to_numpy().view(np.uint64), np.tile(np.arange(len(doc)), forks)
+            node = np.concatenate([mix(node + np.uint64(0xD1B54A32D192ED03 * j % 2**64)) for j in range(1, forks + 1)])
+            for k in range(JUMP):
+                above = node
+                node, of = step(above, sig[row])
+                row = row[of]
+                yield batch_of(node, above[of] if k else None, doc[row], k == JUMP - 1)
 
     return run
 
@@ -272,16 +307,21 @@ def _neighbourhoods(reps: DataFrame, percent: int, trees: int, depth: int) -> Da
     lam = percent / 100
     lowest = lam - DEVIATIONS * (lam * (1 - lam) / SLOTS) ** 0.5
     narrow = reps.select("doc_id", "sig").mapInArrow(_narrow, "doc_id long, sig binary")
-    rows = reps.select("doc_id", "sig").mapInArrow(_descend(lam, trees), "node long, doc_id long")
+    rows = reps.select("doc_id", "sig").mapInArrow(_descend(lam, trees, depth), _NODES)
     links, leaves, total = [], [], 0
     for level in range(1, depth + 1):
         # written first: a join with a side that is dealt by an aggregate can't split a hot node
         met = shared_table(spark, rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "met")
         n = met.agg(F.sum("n")).first()[0] or 0
         nodes = shared_table(spark, rows.join(maybe_broadcast(met, n), "node"), "nodes")
-        leaves.append(nodes.where(F.col("n") <= NODE).select("node", "doc_id"))
+        # compared at the first slot where they are small: below a large node, though not at the jump's end
+        few = nodes.where(F.col("n") <= NODE)
+        if level > 1:
+            above = met.where(F.col("n") > NODE).select(F.col("node").alias("parent"))
+            few = few.where("parent is null").unionByName(few.join(maybe_broadcast(above, n // NODE), "parent", "left_semi"), allowMissingColumns=True)
+        leaves.append(few.select("node", "doc_id"))
         total += n
-        large = nodes.where(F.col("n") > NODE)
+        large = nodes.where((F.col("n") > NODE) & F.col("last"))
         if large.isEmpty():
             break
         # nodes that wouldn't part: near copies of one text
@@ -298,7 +338,7 @@ def _neighbourhoods(reps: DataFrame, percent: int, trees: int, depth: int) -> Da
         apart = shared_table(spark, reps.select("doc_id", "sig").join(maybe_broadcast(apart, n), "doc_id").select("node", "doc_id", "sig"), "apart")
         if apart.isEmpty():
             break
-        rows = apart.mapInArrow(_descend(lam, trees), "node long, doc_id long")
+        rows = apart.mapInArrow(_descend(lam, trees, depth), _NODES)
     small = reduce(DataFrame.unionAll, leaves)
     members = narrow.join(maybe_broadcast(small, total), "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
     near = members.select("members").mapInArrow(_near(lowest), "a long, b long")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tesserae.llm import bpe, decontaminate, language_id, line_dedup, near_dup, pii, substring_dedup, token_store, topk, url_filter
@@ -118,6 +119,40 @@ def test_near_dup_chain_and_edges(spark, nothing):
     assert kept.columns == ["doc_id", "text", "_gone"] and kept.where("doc_id = 51").count() == 0
 
 
+def test_near_dup_recall():
+    """Pairs whose nodes stay large to the last slot still meet; nodes are told at each slot of a jump, with their parents."""
+    assert near_dup.TREES >= 16
+    r, pairs = np.random.default_rng(11), 1500
+    sig = r.integers(0, 2**32, (pairs, near_dup.SLOTS), dtype=np.uint32)
+    other = sig.copy()
+    for row in other:
+        row[r.permutation(near_dup.SLOTS)[:10]] ^= 1  # 54 of 64 agree: just below 0.85
+    raw = [x.tobytes() for x in np.stack([sig, other], 1).reshape(-1, near_dup.SLOTS)]
+    descend = near_dup._descend(0.85, near_dup.TREES)
+
+    def together(batches):
+        """Rows of nodes that both of a pair are in."""
+        node, doc = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in ("node", "doc_id"))
+        rows = np.unique(np.stack([node, doc], 1), axis=0)
+        twin = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] // 2 == rows[:-1, 1] // 2)
+        keep = np.zeros(len(rows), bool)
+        keep[1:] |= twin
+        keep[:-1] |= twin
+        return rows[keep]
+
+    rows = together(list(descend([pa.RecordBatch.from_pydict({"doc_id": pa.array(range(2 * pairs), pa.int64()), "sig": pa.array(raw, pa.binary())})])))
+    for _ in range(1, near_dup.DEPTH):
+        made = list(descend([pa.RecordBatch.from_pydict({"node": pa.array(rows[:, 0]), "doc_id": pa.array(rows[:, 1]), "sig": pa.array([raw[d] for d in rows[:, 1]], pa.binary())})]))
+        assert len(made) == near_dup.JUMP
+        for above, below in zip(made, made[1:]):
+            assert set(below.column("parent").to_pylist()) <= set(above.column("node").to_pylist())
+        rows = together(made[-1:])
+    assert len(np.unique(rows[:, 1] // 2)) == pairs
+    slots = 1 + (near_dup.DEPTH - 1) * near_dup.JUMP
+    for threshold in (0.85, 0.8):
+        assert near_dup.missed(threshold, near_dup.TREES, near_dup.forks_for(threshold, near_dup.TREES), slots) <= 1e-6
+
+
 BENCH = [("b1", SHARED), ("b2", "w1 w2"), ("b3", None), ("b4", " ".join(f"U{i}," for i in range(19))), ("b5", ""), ("b1x", SHARED)]
 
 
