@@ -5,7 +5,7 @@ e-mail addresses, IP numbers, card and phone numbers as written by people who av
 com`, `(555) 123-4567`, `10[.]0[.]0[.]1`, cards in groups parted by dots), and look-alikes that aren't (dates, versions, hex
 tokens, prices). Tags are begin/inside of each kind and outside.
 
-A found span must hold a digit or an `@`, or `at`/`dot` between brackets or blanks; so text far from any of
+A found span must hold a digit or an `@`, or `at`/`dot` in any case between brackets or white space; so text far from any of
 these needs no network. Windows of WINDOW characters overlap by half around such places. Their emissions are averaged with
 weights that favour a window's middle, and one Viterbi pass over each run of windows
 decodes it as a whole, so that no span is cut or told twice at a window's edge. A span of the
@@ -317,7 +317,7 @@ def trained(seed: int = 7, steps: int = STEPS) -> Network:
 
 # --- windows --------------------------------------------------------------------------------
 
-_CALL = re.compile(r"[0-9@]|[\[( ](?:at|dot)[\]) ]", re.IGNORECASE)
+_CALL = re.compile(r"[0-9@]|(?<=[\[(\s])(?:at|dot)(?=[\])\s])", re.IGNORECASE)
 _HALF = WINDOW // 2
 _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
@@ -334,15 +334,10 @@ def runs(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _needs(text: str) -> bool:
-    # " at " alone calls for nothing unless something like a dot follows: a cheap test for most texts
-    return any(c in text for c in "0123456789@") or ("dot" in text or "DOT" in text)
-
-
 def network_spans(network: Network, texts: list[str], most: int = 4096) -> list[list[tuple[str, int, int]]]:
     """Spans of the network in each text, before any check."""
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    where = [(n, a, b) for n, t in enumerate(texts) if _needs(t) for a, b in runs(t)]
+    where = [(n, a, b) for n, t in enumerate(texts) for a, b in runs(t)]
     where.sort(key=lambda r: r[2] - r[1])
     at = 0
     while at < len(where):

@@ -331,6 +331,13 @@ def test_pii_network_and_query(spark, docs, nothing):
     assert pii.report(nothing).count() == 0
 
 
+def test_pii_calls():
+    """Whatever a span's plain check accepts calls for the network, without a digit or an `@` elsewhere."""
+    for text in ("jane.doe(at)example.com", "Jane At Example Dot Com", "jane[AT]example.com", "jane\tat\nexample\tdot\ncom", "jane (at ) example.com"):
+        assert pii._plain_check("email", text) and pii.runs(f"write to {text} please"), text
+    assert pii.spans(pii.trained(), ["mail: jane.doe(at)example.org"]) == [[("email", 6, 29, False)]]
+
+
 def test_language_id(spark, nothing):
     r = random.Random(8)
     syllables = {"aa": ["th", "er", "ing"], "bb": ["ción", "ado", "que"], "cc": ["sch", "ung", "ei"]}
