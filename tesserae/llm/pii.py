@@ -34,7 +34,7 @@ from .common import ship, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, size of embedding and of each direction's state; batches, texts of a batch and step size of the training, texts in all.
 WINDOW, EMBEDDING, HIDDEN, STEPS, BATCH, RATE, POOL = 48, 12, 16, 300, 64, 0.012, 4000
-#: Characters kept around a place that calls for the network, on each side.
+#: Characters kept around the stretches that a place calls for, on each side.
 REACH = 24
 TAGS = 1 + 2 * len(KINDS)
 
@@ -98,6 +98,9 @@ def _plain_check(kind: str, text: str) -> bool:
     return 8 <= len(digits) <= 15 and bool(re.fullmatch(r"(?:\+|00)?[ (]*[0-9][ ()./0-9-]*[0-9]", text)) and bool(re.search(r"[ ()./-]", text)) and not re.search(r"[0-9]{9}", text)
 
 
+#: An address as `_plain_check` takes it, within more text.
+_WRITTEN = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?:\s*(?:@|[\[(]\s*at\s*[\])])\s*[a-z0-9-]++(?:(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\sdot\s)[a-z0-9-]++)+|\sat\s[a-z0-9-]++(?:\sdot\s[a-z0-9-]++)+)")
+
 # --- labelled spans -------------------------------------------------------------------------
 
 
@@ -318,15 +321,43 @@ def trained(seed: int = 7, steps: int = STEPS) -> Network:
 # --- windows --------------------------------------------------------------------------------
 
 _CALL = re.compile(r"[0-9@]|(?<=[\[(\s])(?:at|dot)(?=[\])\s])", re.IGNORECASE)
+#: Characters of any span but blanks; the last four are what [a-z] matches too when case is ignored.
+_HELD = _LOCAL | frozenset("@()[]/\u017f\u212a\u0130\u0131")
 _HALF = WINDOW // 2
 _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
 
+def _over(text: str, at: int, step: int) -> int:
+    """The place reached from `at`, forwards (1) or backwards (-1), over characters that a span may hold."""
+    off = 0 if step > 0 else 1
+    while 0 <= at - off < len(text) and text[at - off] in _HELD:
+        at += step
+    return at
+
+
+def _blanks(text: str, at: int, step: int) -> int:
+    off = 0 if step > 0 else 1
+    while 0 <= at - off < len(text) and text[at - off].isspace():
+        at += step
+    return at
+
+
 def runs(text: str) -> list[tuple[int, int]]:
-    """Ranges around the places that call for the network, joined where they touch."""
+    """Ranges around the places that call for the network, joined where they touch.
+
+    The stretch of a call and the two beside it on each side, across blanks, are always whole (a bracket may stand alone between
+    an address's words), and REACH characters are kept around them.
+    """
     out: list[list[int]] = []
+    end = -1  # of the last call's stretch
     for m in _CALL.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if m.end() <= end:
+            continue
+        a, end = _over(text, m.start(), -1), _over(text, m.end(), 1)
+        b = end
+        for _ in range(2):
+            a, b = _over(text, _blanks(text, a, -1), -1), _over(text, _blanks(text, b, 1), 1)
+        a, b = max(0, a - REACH), min(len(text), b + REACH)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -389,8 +420,13 @@ def spans(network: Network, texts: list[str]) -> list[list[tuple[str, int, int,
                 a += 1
             while a < b and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
                 b -= 1
-            if a < b and not any(a < y and x < b for _, x, y in base) and _plain_check(kind, text[a:b]):
-                kept.append((kind, a, b, False))
+            if kind != "email" or _plain_check(kind, text[a:b]):
+                parts = [(a, b)]
+            else:  # the network took in words beside the addresses
+                parts = [m.span() for m in _WRITTEN.finditer(text, a, b)]
+            for x, y in parts:
+                if x < y and not any(x < q and p < y for _, p, q in base) and _plain_check(kind, text[x:y]):
+                    kept.append((kind, x, y, False))
         out.append(sorted(kept, key=lambda s: (KINDS.index(s[0]), s[1])))
     return out
 

@@ -338,6 +338,20 @@ def test_pii_calls():
     assert pii.spans(pii.trained(), ["mail: jane.doe(at)example.org"]) == [[("email", 6, 29, False)]]
 
 
+def test_pii_runs_hold_whole_spans():
+    name, host = "n" * 60, "h" * 70
+    for text in (f"{name}(at){host}.{host}.org", f"{name} at {host} dot {host}", f"{name}{' ' * 40}[{' ' * 40}at]{' ' * 40}{host}.org", f"{name}\tat\n{host}\ndot\torg", "webmaster(at)mathematics.university-of-example.org"):
+        for before in ("", "z" * 300 + ", "):
+            assert pii._plain_check("email", text)
+            a = len(before)
+            assert any(x <= a and a + len(text) <= y for x, y in pii.runs(before + text + ", and " + "z" * 300)), text
+    # far text is left out
+    assert sum(b - a for a, b in pii.runs("é " * 5000 + "a@b.co" + " é" * 5000)) < 100
+    address = "webmaster(at)mathematics.university-of-example.org"
+    for before, after in (("mail: ", ""), ("see ", " for more")):  # nothing of it is left, nor are words beside it taken
+        assert pii.spans(pii.trained(), [before + address + after]) == [[("email", len(before), len(before + address), False)]]
+
+
 def test_language_id(spark, nothing):
     r = random.Random(8)
     syllables = {"aa": ["th", "er", "ing"], "bb": ["ción", "ado", "que"], "cc": ["sch", "ung", "ei"]}
