@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,5 +36,32 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet below spark.checkpoint.dir and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    for paths in _OPEN:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Paths of the tables written within each open `scratch`.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Remove the tables written in this block at its end. What it yields writes a table that stays."""
+    paths: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        table = shared_table(df, label)
+        kept.append(paths[-1])
+        return table
+
+    _OPEN.append(paths)
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        for path in paths:
+            if path not in kept:
+                _remove(spark.sparkContext, path)
