@@ -51,6 +51,11 @@ def shared_table(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return workspace.shared_table(df, label)
 
 
+def scratch(spark: SparkSession):
+    """Within it, tables that are written are removed at its end, but for what is passed to the function that it gives."""
+    return workspace.scratch(spark)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint where the counted rows are few; a shuffle join otherwise."""
     return F.broadcast(df) if rows <= limit else df
@@ -103,10 +108,11 @@ def byte_classes(words: str, lower: bool) -> np.ndarray:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets (from 0) and UTF-8 bytes of a string column; null counts as empty."""
+    """Offsets (from 0) and UTF-8 bytes of a string column, or bytes of a binary one; null counts as empty."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = pc.fill_null(column, "")
-    column = column.cast(pa.large_string())
+        column = pc.fill_null(column, b"" if binary else "")
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     n = len(column)
     if not n:
         return np.zeros(1, np.int64), np.zeros(0, np.uint8)
@@ -185,6 +191,55 @@ def worker_cache() -> dict:
     return cache
 
 
+class Generations:
+    """A dict to bytes that forgets: entries not asked for while `most` bytes of others came in are dropped."""
+
+    COST = 160  # of an entry beside its characters, about
+
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, keys: list[str]) -> list[bytes | None]:
+        found = list(map(self.young.get, keys))
+        if self.old:
+            old = {}
+            for n, value in enumerate(found):
+                if value is None and (value := self.old.get(keys[n])) is not None:
+                    found[n] = old[keys[n]] = value
+            self.put(old)
+        return found
+
+    def put(self, entries: dict[str, bytes]) -> None:
+        size = self.COST * len(entries) + sum(map(len, entries)) + sum(map(len, entries.values()))
+        if self.size + size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.size += size
+        self.young |= entries
+
+
+def strings(column: pa.Array) -> list[str]:
+    """The column as a list; faster than to_pylist."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def joined(parts: list[bytes], which: np.ndarray, first: np.ndarray) -> pa.Array:
+    """For each text the 32-bit integers of its parts, one after the other; first: where each text begins in which (one more at the end)."""
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    begins = np.cumsum(sizes) - sizes
+    many = sizes[which]
+    ends = np.concatenate([[0], np.cumsum(many)])
+    at = np.arange(ends[-1]) + np.repeat(begins[which] - ends[:-1], many)
+    return binaries(flat[at], ends[first])
+
+
+def binaries(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Runs of 32-bit integers as binary."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer((4 * first).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values, "<u4"))]).cast(pa.binary())
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, keep: dict | None = None) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one hold about most_bytes (or are a single text). Empties all caches but keep."""
     for cache in _CACHES:
