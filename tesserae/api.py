@@ -6,7 +6,9 @@ session's id. Results are text, as a caller reads them; tables are at hand throu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.config import DEFAULTS
@@ -16,9 +18,33 @@ from tesserae.sources.store import Store, new_id
 
 
 class Memory:
-    def __init__(self, spark: SparkSession, path: str, config: dict | None = None):
-        self.spark, self.store, self.config = spark, Store(spark, path), config or DEFAULTS
+    #: The operations by name.
+    OPERATIONS = ("session_start", "memory_store", "memory_retrieve", "memory_compress", "memory_forget", "memory_status")
+
+    def __init__(self, spark: SparkSession, path: str, config: dict | None = None, embedder: Callable[[Column], Column] | None = None):
+        """embedder: text to array<float> of the configured number of dimensions; vectors are zero without one."""
+        self.spark, self.store, self.config, self.embedder = spark, Store(spark, path), config or DEFAULTS, embedder
         self.session: str | None = None
+        self.embedding_error: str | None = None if embedder else "no embedder was given"
+
+    @property
+    def embedding_ready(self) -> bool:
+        return self.embedder is not None
+
+    def call(self, name: str, arguments: dict | None = None) -> tuple[str, bool]:
+        """An operation by name: its text, and whether it failed."""
+        if name not in self.OPERATIONS:
+            return f"Unknown tool: {name}", True
+        try:
+            return getattr(self, name)(**(arguments or {})), False
+        except Exception as e:  # noqa: BLE001  whatever went wrong is told to the caller as text
+            return f"Error: {e}", True
+
+    def search(self, query: str, k: int = 10, types: list[str] | None = None) -> DataFrame:
+        """The k vectors most similar to the query's."""
+        asked = self.spark.range(1).select(F.lit("query").alias("query_id"), self._embed(F.lit(query)).alias("q"))
+        rows = self._table("vectors").withColumn("seq", F.col("id"))
+        return vectors.search_many(vectors.matching(rows, types) if types else rows, asked, k)
 
     # --- tables ---
 
@@ -28,13 +54,13 @@ class Memory:
     def _summaries(self) -> DataFrame:
         return self._table("summaries").withColumn("seq", F.unix_micros("created_at"))
 
-    def _embed(self):
-        return vectors.zero_embedding(self.config["embedding"]["dimensions"])
+    def _embed(self, content: Column) -> Column:
+        return self.embedder(content) if self.embedder else vectors.zero_embedding(self.config["embedding"]["dimensions"])
 
     def _put_vectors(self, rows: DataFrame, as_of: str) -> None:
         """rows: source_id, source_type, content, confidence."""
         new = rows.select(new_id(F.lit("vector"), F.col("source_id")).alias("id"), "source_id", "source_type", "content", "confidence")
-        self.store.put("vectors", vectors.with_vectors(self._table("vectors").limit(0), new, self._embed(), as_of))
+        self.store.put("vectors", vectors.with_vectors(self._table("vectors").limit(0), new, self._embed(F.col("content")), as_of))
 
     def _put_summaries(self, rows: DataFrame, as_of: str) -> None:
         at = F.lit(as_of).cast("timestamp")
@@ -150,11 +176,10 @@ class Memory:
 
     def resource(self, uri: str) -> str:
         if uri == "memory://core":
-            rows = scans.summaries_by_tier(self._table("summaries"), 3)
-            return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_micros("created_at")).alias("o"), "id", "content"))), lambda x: x["content"]), "\n").alias("t")).first()["t"] or "No core memories stored yet."
+            return scans.core_memory(self._table("summaries")).first()["text"]
         if uri == "memory://session/current":
             rows = self._table("buffer").where(F.col("session_id") == self.session).select("seq", F.concat(F.lit("["), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("] "), "content").alias("line"))
-            return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("t")).first()["t"] or "No working memory entries for this session."
+            return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("t")).first()["t"] or scans.NO_WORKING
         if uri == "memory://graph/schema":
             rows = graph.schema(self._table("entities"), self._table("relations"))
             return rows.agg(F.to_json(F.struct(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("position", "name")))), lambda x: x["name"]).alias(n) for k, n in (("entity_type", "entityTypes"), ("predicate", "predicates"))])).alias("t")).first()["t"]

@@ -8,7 +8,7 @@ from typing import Any
 
 # Default settings.
 DEFAULTS: dict[str, Any] = {
-    "embedding": {"provider": "none", "dimensions": 64},
+    "embedding": {"provider": "local", "dimensions": 384},
     "token_budgets": {"working": 16000, "session": 4000, "epoch": 2000, "core": 1000, "retrieval": 8000, "graph_facts": 2000, "default_retrieve": 8000},
     "compression": {"overflow_threshold": 20000, "consolidation_count": 10, "decay_rate": 0.01, "decay_interval_hours": 24},
     "ranking": {"semantic": 0.4, "recency": 0.3, "priority": 0.2, "frequency": 0.1, "dedup_threshold": 0.85},

@@ -56,3 +56,26 @@ def decode_vector(raw: bytes) -> list[float]:
     import struct
 
     return list(struct.unpack(f"<{len(raw) // 4}f", raw))
+
+
+def encode_column(vector: Column) -> Column:
+    """Vectors as little-endian 32-bit floats, one after the other; null stays null."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("binary")
+    def encode(column: pd.Series) -> pd.Series:
+        return column.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return encode(vector)
+
+
+def decode_column(raw: Column) -> Column:
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("array<float>")
+    def decode(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+    return decode(raw)

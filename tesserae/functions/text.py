@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +22,19 @@ def estimate_tokens(text: Column) -> Column:
     return F.coalesce(F.ceil(F.length(text) / 4), F.lit(0)).cast("long")
 
 
+def count_tokens(text: Column, encode: Callable[[list[str]], list[int]] | None = None) -> Column:
+    """Tokens by an encoder of batches of texts, given as a function to their numbers of tokens; the estimate without one. Null counts 0."""
+    if encode is None:
+        return estimate_tokens(text)
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def counted(column: pd.Series) -> pd.Series:
+        return pd.Series(encode(column.fillna("").tolist()), dtype="int64")
+
+    return counted(text)
+
+
 def truncate_tokens(text: Column, budget: int) -> Column:
     """The longest prefix whose estimate is within the budget; a budget of 0 or less leaves nothing."""
     return F.substring(text, 1, max(0, 4 * budget))

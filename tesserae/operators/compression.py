@@ -68,7 +68,8 @@ def lineage(compressed: DataFrame, sources: DataFrame) -> DataFrame:
     """(summary_id, source_id) for what went into each summary: by session, or all where it has none."""
     ids = sources.select(F.col("session_id").alias("s"), F.col("id").alias("source_id"))
     heads = compressed.select(F.col("id").alias("summary_id"), "session_id")
-    return ids.join(F.broadcast(heads), F.col("session_id").isNull() | (F.col("s") == F.col("session_id"))).select("summary_id", "source_id")
+    own = ids.join(heads.where("session_id is not null"), F.col("s") == F.col("session_id")).select("summary_id", "source_id")
+    return own.unionByName(ids.crossJoin(heads.where("session_id is null")).select("summary_id", "source_id"))  # a summary of everything names everything
 
 
 def overflow_runs(buffer: DataFrame, threshold: int = _C["overflow_threshold"]) -> DataFrame:
@@ -77,15 +78,16 @@ def overflow_runs(buffer: DataFrame, threshold: int = _C["overflow_threshold"])
     When a session's tokens exceed the threshold after an entry, the older half of its entries (rounded
     down) becomes a run, once an entry. The buffer is always the list's last entries, so a fold over token counts carries only where it begins.
     """
-    xs = buffer.where("session_id is not null").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "id", "tokens"))).alias("xs"))
-    zero = F.struct(F.lit(0).alias("head"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("cuts"))
+    running = F.sum("tokens").over(W.partitionBy("session_id").orderBy("seq", "id"))
+    xs = buffer.where("session_id is not null").withColumn("upto", running).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "id", "upto"))).alias("xs"))
+    zero = F.struct(F.lit(0).alias("head"), F.array().cast("array<int>").alias("cuts"))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("xs"), i - 1)["upto"])
 
     def step(acc: Column, i: Column) -> Column:
-        total = acc["sum"] + F.get(F.col("xs"), i)["tokens"]
+        total = F.get(F.col("xs"), i)["upto"] - before(acc["head"])
         half = F.floor((i + 1 - acc["head"]) / 2).cast("int")
         leaves = (total > threshold) & (half > 0)
-        gone = F.aggregate(F.slice(F.col("xs"), acc["head"] + 1, F.greatest(half, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x["tokens"])
-        return F.struct(F.when(leaves, acc["head"] + half).otherwise(acc["head"]).alias("head"), F.when(leaves, total - gone).otherwise(total).alias("sum"), F.when(leaves, F.concat(acc["cuts"], F.array(acc["head"] + half))).otherwise(acc["cuts"]).alias("cuts"))
+        return F.struct(F.when(leaves, acc["head"] + half).otherwise(acc["head"]).alias("head"), F.when(leaves, F.concat(acc["cuts"], F.array(acc["head"] + half))).otherwise(acc["cuts"]).alias("cuts"))
 
     cuts = xs.select("session_id", "xs", F.aggregate(F.sequence(F.lit(0), F.size("xs") - 1), zero, step)["cuts"].alias("cuts")).where(F.size("cuts") > 0)
     runs = cuts.select("session_id", "xs", "cuts", F.posexplode("cuts").alias("run", "end"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.text import fold_ascii, to_fixed
 from tesserae.operators.scans import active
+from tesserae.sources.workspace import shared_table
 
 # --- folds of logs --------------------------------------------------------------------------
 
@@ -18,7 +19,7 @@ def entity_state(log: DataFrame) -> DataFrame:
     confidence. So the state is the earliest row of the highest confidence, with the first row's
     time of creation: two aggregates with a partial stage, and no fold.
     """
-    best = F.max_by(F.struct("label", "entity_type", "confidence", "seq"), F.struct("confidence", -F.col("seq")))
+    best = F.min_by(F.struct("label", "entity_type", "confidence", "seq"), F.struct(-F.col("confidence"), "seq"))
     return log.groupBy(fold_ascii(F.col("label")).alias("label_key")).agg(best.alias("b"), F.min("seq").alias("created_seq")).select("label_key", F.col("b.label").alias("label"), F.col("b.entity_type").alias("entity_type"), F.col("b.confidence").alias("confidence"), "created_seq", F.col("b.seq").alias("updated_seq"))
 
 
@@ -30,9 +31,10 @@ def relation_state(log: DataFrame) -> DataFrame:
     As a queue: push always, pop the head exactly if its object differs. Runs of equal objects are what the
     queue keeps, so all but the last of a run's neighbours must be known: a fold over a key's relations, as ids.
     """
+    kind = log.schema["seq"].dataType.simpleString()
     grouped = log.groupBy("subject_id", "predicate").agg(F.array_sort(F.collect_list(F.struct("seq", "object_id"))).alias("xs"))
     # the queue is a range of the sorted list, so its head's index is all that the fold carries
-    zero = F.struct(F.lit(0).alias("head"), F.array().cast("array<struct<seq:bigint,by:bigint>>").alias("ended"))
+    zero = F.struct(F.lit(0).alias("head"), F.array().cast(f"array<struct<seq:{kind},by:{kind}>>").alias("ended"))
 
     def step(acc: Column, i: Column) -> Column:
         head, x = F.get(F.col("xs"), acc["head"]), F.get(F.col("xs"), i)
@@ -78,12 +80,15 @@ def neighbours(roots: DataFrame, relations: DataFrame, hops: int = 1) -> DataFra
 
 
 def reach(roots: DataFrame, relations: DataFrame, hops: int) -> DataFrame:
-    """Breadth-first over any number of hops: each further entity at its least distance."""
-    edges = _edges(relations).select("at", "other").distinct()
+    """Breadth-first over any number of hops: each further entity at its least distance. Every hop is written, so none is computed again."""
+    edges = shared_table(_edges(relations).select("at", "other").distinct(), "edges")
     seen = roots.select(F.col("id").alias("root")).distinct().withColumns({"id": F.col("root"), "hop": F.lit(0)})
     edge = seen
     for hop in range(1, hops + 1):
         edge = edge.join(edges, F.col("id") == F.col("at")).select("root", F.col("other").alias("id")).distinct().join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("hop", F.lit(hop))
+        edge = shared_table(edge, "hop")
+        if edge.isEmpty():
+            break
         seen = seen.unionByName(edge)
     return seen.where("hop > 0")
 
@@ -110,7 +115,8 @@ def stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def _percent(confidence: Column) -> Column:
-    return F.when(confidence < 1, F.concat(F.lit("["), to_fixed(confidence, 2), F.lit("]"))).otherwise("")
+    # Fixed value: how a confidence below 1 is shown.
+    return F.when(confidence < 1, F.concat(F.lit(" [conf:"), to_fixed(confidence, 2), F.lit("]"))).otherwise("")
 
 
 def serialize_facts(triples: DataFrame) -> DataFrame:
@@ -118,14 +124,31 @@ def serialize_facts(triples: DataFrame) -> DataFrame:
     return triples.withColumn("line", F.concat("subject", F.lit(" → "), "predicate", F.lit(" → "), "object", _percent(F.col("confidence"))))
 
 
-def serialize_entity(roots: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(id, text): a header and a line for each relation whose other end is known, outgoing first."""
+def relations_around(roots: DataFrame, entities: DataFrame, relations: DataFrame, depth: int = 1) -> DataFrame:
+    """(root, hop, via, other, outgoing, predicate, confidence): active relations of each root, and, beyond depth 1, those of its known
+    neighbours that lead to what is neither the root nor at one hop. outgoing: from `via`, which is the root or a neighbour."""
+    edges = _edges(relations)
+    first = roots.select(F.col("id").alias("root")).distinct().join(edges, F.col("root") == F.col("at")).withColumn("hop", F.lit(1))
+    out = first
+    if depth > 1:
+        near = first.select("root", F.col("other").alias("n")).distinct()
+        known = near.join(entities.select(F.col("id").alias("n")).distinct(), "n", "left_semi").where("n != root")
+        second = known.join(edges, F.col("n") == F.col("at")).where("other != root").join(near.withColumnRenamed("n", "other"), ["root", "other"], "left_anti").drop("n")
+        out = out.unionByName(second.withColumn("hop", F.lit(2)))
+    return out.select("root", "hop", F.col("at").alias("via"), "other", "outgoing", "predicate", "confidence")
+
+
+def serialize_entity(roots: DataFrame, entities: DataFrame, relations: DataFrame, depth: int = 1) -> DataFrame:
+    """(id, text): a header and a line for each relation whose other end is known: outgoing first, nearer first, surer first."""
     named = entities.select(F.col("id").alias("other"), F.col("label").alias("other_label"))
-    lines = roots.select("id").join(_edges(relations), F.col("id") == F.col("at")).join(named, "other").where("other != id")
-    line = F.when(F.col("outgoing"), F.concat(F.lit("  → "), "predicate", F.lit(" → "), "other_label", _percent(F.col("confidence")))).otherwise(F.concat(F.lit("  ← "), "other_label", F.lit(" → "), "predicate", _percent(F.col("confidence"))))
-    grouped = lines.select("id", F.struct((~F.col("outgoing")).alias("o"), (-F.col("confidence")).alias("c"), "other", line.alias("line")).alias("x")).groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    lines = relations_around(roots, entities, relations, depth).join(named, "other")
+    forth = F.concat(F.lit("  → "), "predicate", F.lit(" → "), "other_label", _percent(F.col("confidence")))
+    back = F.concat(F.lit("  ← "), "other_label", F.lit(" → "), "predicate", _percent(F.col("confidence")))
+    place = F.struct((~F.col("outgoing")).alias("o"), "hop", F.when(F.col("hop") > 1, F.col("via")).otherwise("").alias("v"), (-F.col("confidence")).alias("c"), "other", F.when(F.col("outgoing"), forth).otherwise(back).alias("line"))
+    grouped = lines.groupBy(F.col("root").alias("id")).agg(F.array_sort(F.collect_list(place)).alias("xs"))
     head = F.concat(F.lit("Entity: "), F.col("label"), F.lit(" ("), F.col("entity_type"), F.lit(")"))
-    return roots.select("id").join(entities.select("id", "label", "entity_type"), "id").join(grouped, "id", "left").select("id", F.concat(head, F.coalesce(F.concat(F.lit("\n"), F.array_join(F.transform("xs", lambda x: x["line"]), "\n")), F.lit(""))).alias("text"))
+    body = F.array_join(F.transform("xs", lambda x: x["line"]), "\n")
+    return roots.select("id").join(entities.select("id", "label", "entity_type"), "id").join(grouped, "id", "left").select("id", F.concat(head, F.coalesce(F.concat(F.lit("\n"), body), F.lit(""))).alias("text"))
 
 
 # --- changes --------------------------------------------------------------------------------
@@ -146,3 +169,14 @@ def remove_entities(entities: DataFrame, relations: DataFrame, labels: DataFrame
 def deprecate_relations(relations: DataFrame, chosen: Column, as_of: str, confidence: float = 0.1) -> DataFrame:
     """Chosen relations end now, with little confidence."""
     return relations.withColumns({"confidence": F.when(chosen, confidence).otherwise(F.col("confidence")), "temporal_end": F.when(chosen, F.lit(as_of).cast("timestamp")).otherwise(F.col("temporal_end"))})
+
+
+def upsert_by_id(entities: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
+    """Entities after rows of (id, label, entity_type, confidence, ...) replace those of their ids: the time of creation stays, the update's is now.
+
+    An id should come once in new.
+    """
+    at = F.lit(as_of).cast("timestamp")
+    made = entities.select("id", F.col("created_at").alias("_made"))
+    rows = new.join(made, "id", "left").withColumns({"created_at": F.coalesce("_made", at), "updated_at": at}).drop("_made")
+    return entities.join(new.select("id"), "id", "left_anti").unionByName(rows, allowMissingColumns=True)

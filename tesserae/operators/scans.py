@@ -14,7 +14,7 @@ def by_id(df: DataFrame, key: str, column: str = "id") -> DataFrame:
 
 def entity_by_label(entities: DataFrame, label: str) -> DataFrame:
     """The first entity of a label, ASCII letters compared without case."""
-    return entities.where(fold_ascii(F.col("label")) == fold_ascii(F.lit(label))).orderBy("updated_at", "id").limit(1)
+    return entities.where(fold_ascii(F.col("label")) == fold_ascii(F.lit(label))).orderBy("created_at" if "created_at" in entities.columns else "updated_at", "id").limit(1)
 
 
 def search_entities(entities: DataFrame, text: str) -> DataFrame:
@@ -64,3 +64,24 @@ def recent_sessions(sessions: DataFrame, limit: int = 10) -> DataFrame:
 def active_session(sessions: DataFrame) -> DataFrame:
     """The newest session that hasn't ended."""
     return sessions.where(F.col("ended_at").isNull()).orderBy(F.desc("started_at"), F.desc("seq")).limit(1)
+
+
+# What is shown where nothing is stored.
+NO_CORE, NO_WORKING = "No core memories stored yet.", "No working memory entries for this session."
+
+
+def working_memory(buffer: DataFrame, session: str | None = None) -> DataFrame:
+    """A session's entries, or all; by session and order of arrival."""
+    own = buffer if session is None else buffer.where(F.col("session_id") == session)
+    return own.orderBy("session_id", "seq")
+
+
+def working_count(buffer: DataFrame, session: str | None = None) -> DataFrame:
+    own = buffer if session is None else buffer.where(F.col("session_id") == session)
+    return own.agg(F.count(F.lit(1)).alias("n"))
+
+
+def core_memory(summaries: DataFrame) -> DataFrame:
+    """One row: the contents of tier 3, newest first, or what is shown without any."""
+    lines = summaries.where("tier = 3").agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("o"), "id", "content"))).alias("xs"))
+    return lines.select(F.when(F.size("xs") == 0, NO_CORE).otherwise(F.array_join(F.transform("xs", lambda x: x["content"]), "\n")).alias("text"))

@@ -51,6 +51,13 @@ def decayed(confidence: Column, rate: float = 0.01, rounds: int = 1) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), confidence.cast("double"), lambda c, _: F.when(c > 0.1, c * (1 - rate)).otherwise(c)) if rounds else confidence
 
 
+def apply_decay(entities: DataFrame, relations: DataFrame, vectors: DataFrame, rate: float = 0.01) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, active relations and vectors, each above 0.1 less sure by the rate; closed relations stay as they are."""
+    less = decayed(F.col("confidence"), rate)
+    open_only = F.when(F.col("temporal_end").isNull(), less).otherwise(F.col("confidence"))
+    return entities.withColumn("confidence", less), relations.withColumn("confidence", open_only), vectors.withColumn("confidence", less)
+
+
 def status_text(status_row: DataFrame, session: str, started_at: str) -> DataFrame:
     tiers = [("0", "Working"), ("1", "Session"), ("2", "Epoch"), ("3", "Core")]
     lines = [F.lit("=== Memory Status ==="), F.lit(f"Session: {session[:8]}... (started {started_at})" if session else "Session: No active session — call session_start first!"), F.lit("")]

@@ -11,6 +11,7 @@ from tesserae.functions import scoring, text
 from tesserae.operators import compression, forget, graph, ingest, retrieval, scans, sessions, similarity, stats, vectors
 from tesserae.plans import sql as S
 from tesserae.sources import fixtures as X
+from tesserae.sources.workspace import shared_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,10 +79,13 @@ def fits_in_budget(spark, d):
 
 @query(S.WORD_JACCARD_PAIRS)
 def word_jaccard_pairs(spark, d):
+    """Pairs of class representatives, and each further member of a class with its representative."""
     t = X.read(spark, d, "documents").select("source", "doc_id", text.word_set(F.col("text")).alias("words"))
-    classes = similarity.word_classes(t, "source", "doc_id").where("doc_id = set_id").select("doc_id")
-    pairs = similarity.similar_pairs(t.join(classes, "doc_id", "left_semi"), "source", "doc_id", 0.85)
-    return pairs.select("source", "a", "b", F.round("similarity", 6).alias("similarity"))
+    classes = shared_table(similarity.word_classes(t, "source", "doc_id"), "word-classes")
+    first = classes.where("doc_id = set_id").select("source", "doc_id")
+    pairs = similarity.similar_pairs(t.join(first, ["source", "doc_id"], "left_semi"), "source", "doc_id", 0.85)
+    members = classes.where("doc_id != set_id").select("source", F.col("set_id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
+    return pairs.select("source", "a", "b", F.round("similarity", 6).alias("similarity")).unionByName(members)
 
 
 @query(S.PROMPTS)
@@ -144,7 +148,7 @@ def context_render(spark, d):
     return _context(spark, d).select("session_id", "text")
 
 
-@query()
+@query(S.CONTEXT_ASSEMBLED)
 def context_assembled(spark, d):
     """The whole retrieval over buffers and tier-1 notes, near-duplicates removed."""
     out, _ = retrieval.assemble(X.buffer(spark, d), X.summaries(spark, d), X.access_log(spark, d), X.AS_OF, 2 * FILL)
@@ -242,7 +246,7 @@ def deprecate_relation(spark, d):
 
 
 def _vector_queries(spark, d):
-    return X.vectors(spark, d).where("seq % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    return X.vectors(spark, d).where("seq % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 @query(S.COSINE_TOPK)
@@ -291,8 +295,7 @@ def compress_epoch(spark, d):
 
 @query(S.ARCHIVE_SESSION)
 def archive_session(spark, d):
-    b = X.buffer(spark, d).where("cast(session_id as long) % 2 = 0")
-    return compression.archive(b).select("session_id", "kind", "content", "original_count", "original_tokens", "token_count")
+    return compression.archive(X.buffer(spark, d)).select("session_id", "kind", "content", "original_count", "original_tokens", "token_count")
 
 
 @query(S.LINEAGE)
@@ -419,8 +422,8 @@ def store_routing(spark, d):
 @query(S.STORE_RELATIONS)
 def store_relations(spark, d):
     s = ingest.store(_requests(spark, d))
-    state = graph.relation_state(s.relations.select("seq", F.col("subject").alias("subject_id"), "predicate", F.col("object").alias("object_id"), F.timestamp_seconds(F.col("seq")).alias("temporal_start"), "confidence"))
-    return state.select("seq", "subject_id", "predicate", "object_id", F.col("temporal_end").isNull().alias("active"), "confidence")
+    state = graph.relation_state(s.relations.select("seq", F.col("subject").alias("subject_id"), "predicate", F.col("object").alias("object_id"), F.timestamp_seconds(F.col("seq.seq")).alias("temporal_start"), "confidence"))
+    return state.select("seq.seq", "seq.n", "subject_id", "predicate", "object_id", F.col("temporal_end").isNull().alias("active"), "confidence")
 
 
 # --- further getters and changes ------------------------------------------------------------
@@ -468,7 +471,7 @@ def summaries_by_session(spark, d):
 @query(S.CORE_MEMORY)
 def core_memory(spark, d):
     """Tier 3, newest first, by session."""
-    core = X.summaries(spark, d).where("tier = 3").select("session_id", F.struct((-F.col("seq")).alias("o"), text.preview(F.col("content"), 40).alias("c")).alias("x"))
+    core = X.summaries(spark, d).where("tier = 3").select("session_id", F.struct((-F.col("seq")).alias("o"), F.col("content").alias("c")).alias("x"))
     return core.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"]), "\n").alias("text"))
 
 
@@ -511,3 +514,75 @@ def clear_session(spark, d):
 @query(S.STATUS_TEXT)
 def status_text(spark, d):
     return stats.status_text(status(spark, d), "1", X.AS_OF)
+
+
+# --- whole-table getters, decay, upsert by id -------------------------------------------------
+
+
+def _regions(spark, d):
+    return X.graph(spark, d)[0].where("entity_type = 'region'").select("id")
+
+
+@query(S.NEIGHBOR_RELATIONS)
+def neighbor_relations(spark, d):
+    out = graph.relations_around(_regions(spark, d), *X.graph(spark, d), depth=2)
+    return out.withColumn("hop", F.col("hop").cast("long"))
+
+
+@query(S.GRAPH_TEXT_2HOP)
+def graph_text_2hop(spark, d):
+    return graph.serialize_entity(_regions(spark, d), *X.graph(spark, d), depth=2)
+
+
+@query(S.DECAY_ALL)
+def decay_all(spark, d):
+    e, r = X.graph(spark, d)
+    r = r.withColumn("temporal_end", F.when(F.col("predicate") == "part_of", F.lit(X.AS_OF).cast("timestamp")))
+    e, r, v = stats.apply_decay(e, r, X.vectors(spark, d), 0.2)
+    rows = [e.select(F.lit("entity").alias("kind"), "id", "confidence"), r.select(F.lit("relation").alias("kind"), F.concat_ws(" ", "subject_id", "object_id").alias("id"), "confidence"), v.select(F.lit("vector").alias("kind"), "id", "confidence")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("confidence", F.round("confidence", 9))
+
+
+@query(S.UPSERT_BY_ID)
+def entity_upsert_by_id(spark, d):
+    e = X.graph(spark, d)[0].withColumn("created_at", F.col("updated_at"))
+    new = e.where("entity_type = 'nation'").select("id", F.upper("label").alias("label"), "entity_type", "confidence").unionByName(spark.sql("SELECT 'new' AS id, 'New' AS label, 'unknown' AS entity_type, 1.0D AS confidence"))
+    return graph.upsert_by_id(e, new, X.AS_OF).select("id", "label", _time("created_at").alias("created"), _time("updated_at").alias("updated"))
+
+
+@query(S.VECTOR_BY_ID)
+def vector_by_id(spark, d):
+    return scans.by_id(X.vectors(spark, d), "7").select("id", "source_type", F.size("embedding").cast("long").alias("dimensions"))
+
+
+@query(S.ALL_VECTORS)
+def all_vectors(spark, d):
+    return scans.vectors_by_type(X.vectors(spark, d)).select("id", "source_type", F.round("confidence", 6).alias("confidence"))
+
+
+@query(S.ALL_RELATIONS)
+def all_relations(spark, d):
+    return scans.active(X.graph(spark, d)[1]).orderBy(F.desc("confidence"), "subject_id", "object_id").select("subject_id", "predicate", "object_id", "confidence")
+
+
+@query(S.WORKING_MEMORY)
+def working_memory(spark, d):
+    return scans.working_memory(X.buffer(spark, d)).select("id", "session_id", "seq", "content", "tokens")
+
+
+@query(S.WORKING_COUNT)
+def working_count(spark, d):
+    b = X.buffer(spark, d)
+    one = lambda s: scans.working_count(b, s).select(F.lit(s).alias("session_id"), "n")
+    return one("1").unionByName(one("none"))
+
+
+@query(S.CORE_MEMORY_ALL)
+def core_memory_all(spark, d):
+    s = X.summaries(spark, d)
+    return scans.core_memory(s).select(F.lit("all").alias("scope"), "text").unionByName(scans.core_memory(s.limit(0)).select(F.lit("none").alias("scope"), "text"))
+
+
+@query(S.COMPRESS_EPOCH_ALL)
+def compress_epoch_all(spark, d):
+    return compression.compress_epoch(X.summaries(spark, d)).select("content", "original_count", "original_tokens", "token_count")

@@ -2,8 +2,66 @@
 
 from __future__ import annotations
 
-from tesserae.functions.scoring import PRIORITIES
-from tesserae.functions.text import PREDICATES, PROMPTS as _PROMPTS, STOP_WORDS
+# Fixed values, written out again so that the SQL doesn't follow the code that it checks: predicates in order, words that alone are no
+# mention, prompts, priorities of sources.
+PREDICATES = [
+    (r"lives?\s+in|located\s+in|resides?\s+in|based\s+in", "located_in"),
+    (r"works?\s+(?:at|for)|employed\s+(?:at|by)", "works_at"),
+    (r"likes?|loves?|enjoys?|prefers?", "prefers"),
+    (r"hates?|dislikes?|avoids?", "dislikes"),
+    (r"is\s+a|is\s+an|is\s+the", "is_a"),
+    (r"has|owns?|possesses?", "has"),
+    (r"knows?|met|friends?\s+with", "knows"),
+    (r"wants?\s+to|plans?\s+to|intends?\s+to|going\s+to", "wants_to"),
+    (r"created?|built|made|wrote|authored", "created"),
+    (r"uses?|utilizes?", "uses"),
+    (r"visited|went\s+to|traveled\s+to", "visited"),
+    (r"learned|studied|knows\s+about", "learned"),
+    (r"born\s+in|from", "from"),
+    (r"married\s+to|spouse|partner", "married_to"),
+    (r"parent\s+of|father\s+of|mother\s+of", "parent_of"),
+    (r"child\s+of|son\s+of|daughter\s+of", "child_of"),
+    (r"member\s+of|part\s+of|belongs?\s+to", "member_of"),
+    (r"manages?|leads?|heads?", "manages"),
+    (r"reports?\s+to|supervised\s+by", "reports_to"),
+    (r"teaches?|mentors?|coaches?", "teaches"),
+]
+STOP_WORDS = """The This That What When Where Who Why How I You We They He She It My Your Our Can Could Would Should Do Does Did Is Are
+Was Were Has Have Had Will And But Or Not No Yes If Then So Also Just Only About After Before Between From Into For With""".split()
+_PROMPTS = {
+    "extract_facts": """Extract all factual statements from the following text as structured triples. Output a JSON array where each element has: "subject", "predicate", "object", "subject_type", "object_type", "confidence" (0.0-1.0).
+
+Use clear, normalized predicates like: located_in, works_at, is_a, has, prefers, knows, wants_to, created, uses, born_in, member_of, etc.
+
+Text:
+{text}
+
+Output only the JSON array, no other text.""",
+    "compress_session": """Compress the following conversation working memory into a concise summary of ~200 tokens. Preserve:
+1. Key decisions made
+2. Important facts learned about the user
+3. Unresolved questions or pending items
+4. Action items or next steps
+5. Emotional context if notable
+
+Aggressively compress redundant dialogue, greetings, and filler. Keep only high-information-density content.
+
+Working Memory:
+{text}
+
+Output only the compressed summary.""",
+    "consolidate_epoch": """Merge the following session summaries into a single epoch summary of ~100 tokens. Focus on:
+1. Recurring themes and patterns
+2. Evolving user preferences
+3. Long-term goals and progress
+4. Significant milestones or decisions
+
+Session Summaries:
+{text}
+
+Output only the consolidated epoch summary.""",
+}
+PRIORITIES = {"core": 1.0, "working": 0.95, "current_session": 0.9, "graph": 0.8, "long_term": 0.65, "past_sessions": 0.5, "vector": 0.4}
 
 _AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
 _EMPTY = "No memories stored in this session yet. This is a fresh session — use memory_store to save important information as you go."
@@ -71,7 +129,8 @@ WORD_JACCARD_PAIRS = f"""
 WITH t AS (SELECT source, doc_id, list_sort({_WORDS.format('text')}) AS w FROM documents),
 u AS (SELECT source, min(doc_id) AS doc_id, w FROM t WHERE len(w) > 0 GROUP BY source, w),
 p AS (SELECT x.source, x.doc_id AS a, y.doc_id AS b, {_JACCARD} AS similarity FROM u x JOIN u y ON x.source = y.source AND x.doc_id < y.doc_id)
-SELECT source, a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.85"""
+SELECT source, a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.85
+UNION ALL SELECT t.source, u.doc_id, t.doc_id, 1.0::DOUBLE FROM t JOIN u ON t.source IS NOT DISTINCT FROM u.source AND t.w = u.w WHERE t.doc_id <> u.doc_id"""
 PROMPTS = "SELECT conv_id, turn, " + ", ".join("md5(concat('{}', text, '{}')) AS {}".format(*[x.replace("'", "''") for x in t.split("{text}")], name) for name, t in _PROMPTS.items()) + " FROM conversations"
 
 # --- retrieval ------------------------------------------------------------------------------
@@ -86,20 +145,24 @@ COMPOSITE_SCORE = f"WITH {_SUMMARIES}, {_ACCESS}, {_SCORED} SELECT session_id, i
 RECENCY_SCORE = f"WITH {_SUMMARIES} SELECT id, round({_RECENCY}, 6) AS recency FROM summaries"
 _KINDS = [*PRIORITIES, "elsewhere"]
 SOURCE_PRIORITY = f"SELECT conv_id, turn, [{', '.join(repr(k) for k in _KINDS)}][turn % 8 + 1] AS kind, CAST([{', '.join(str(v) for v in [*PRIORITIES.values(), 0.3])}][turn % 8 + 1] AS DOUBLE) AS priority FROM conversations"
-DEDUP_GREEDY = f"""
-WITH RECURSIVE {_SUMMARIES}, {_ACCESS}, {_SCORED},
-w AS (SELECT session_id, id, {_WORDS.format('content')} AS w FROM summaries WHERE tier = 1),
-near AS (SELECT x.session_id, x.id, list(y.id) AS near FROM w x JOIN w y ON x.session_id = y.session_id AND x.id <> y.id AND len(x.w) > 0 AND len(y.w) > 0 AND {_JACCARD} >= 0.7 GROUP BY 1, 2),
-ordered AS (SELECT s.session_id, s.id, score, coalesce(near, []) AS near, row_number() OVER (PARTITION BY s.session_id ORDER BY created_at DESC, s.id) AS n FROM scored s LEFT JOIN near USING (session_id, id)),
-fold AS (
-  SELECT session_id, 0 AS n, CAST([] AS STRUCT(id VARCHAR, score DOUBLE)[]) AS kept FROM (SELECT DISTINCT session_id FROM ordered)
+
+
+def _greedy(threshold: float) -> str:
+    """Keeps: session_id, id of what a greedy pass over scored leaves."""
+    return f"""words AS (SELECT session_id, id, {_WORDS.format('content')} AS w FROM summaries WHERE tier = 1),
+near AS (SELECT x.session_id, x.id, list(y.id) AS near FROM words x JOIN words y ON x.session_id = y.session_id AND x.id <> y.id AND len(x.w) > 0 AND len(y.w) > 0 AND {_JACCARD} >= {threshold} GROUP BY 1, 2),
+passing AS (SELECT s.session_id, s.id, score, coalesce(near, []) AS near, row_number() OVER (PARTITION BY s.session_id ORDER BY created_at DESC, s.id) AS n FROM scored s LEFT JOIN near USING (session_id, id)),
+pass AS (
+  SELECT session_id, 0 AS n, CAST([] AS STRUCT(id VARCHAR, score DOUBLE)[]) AS kept FROM (SELECT DISTINCT session_id FROM passing)
   UNION ALL
   SELECT f.session_id, f.n + 1,
     CASE WHEN coalesce(list_position(list_transform(f.kept, lambda k: list_contains(o.near, k.id)), true), 0) = 0 THEN list_append(f.kept, {{'id': o.id, 'score': o.score}})
     ELSE list_transform(f.kept, lambda k, i: CASE WHEN i = list_position(list_transform(f.kept, lambda m: list_contains(o.near, m.id)), true) AND o.score > k.score THEN {{'id': o.id, 'score': o.score}} ELSE k END) END
-  FROM fold f JOIN ordered o ON o.session_id = f.session_id AND o.n = f.n + 1),
-last AS (SELECT session_id, kept FROM fold QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC) = 1)
-SELECT session_id, k.id AS id FROM (SELECT session_id, unnest(kept) AS k FROM last)"""
+  FROM pass f JOIN passing o ON o.session_id = f.session_id AND o.n = f.n + 1),
+keeps AS (SELECT session_id, k.id AS id FROM (SELECT session_id, unnest(kept) AS k FROM (SELECT session_id, kept FROM pass QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC) = 1)))"""
+
+
+DEDUP_GREEDY = f"WITH RECURSIVE {_SUMMARIES}, {_ACCESS}, {_SCORED}, {_greedy(0.7)} SELECT session_id, id FROM keeps"
 _FILL = """fold AS (
   SELECT session_id, CAST(0 AS BIGINT) AS n, CAST({budget} AS BIGINT) AS rem, CAST([] AS VARCHAR[]) AS ids FROM (SELECT DISTINCT session_id FROM ordered)
   UNION ALL
@@ -111,12 +174,31 @@ WITH RECURSIVE {_SUMMARIES}, {_ACCESS}, {_SCORED},
 ordered AS (SELECT session_id, id, tokens, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, created_at DESC, id) AS n FROM scored),
 {_FILL.format(budget=800)}
 SELECT session_id, considered, budget_used, array_to_string(ids, ',') AS ids FROM filled"""
-_CONTEXT = f"""
-WITH {_BUFFER},
+
+
+def _context(budget: int, first: str = "WITH") -> str:
+    """made: for each session with a buffer, whether it fits, its tokens, and what is shown."""
+    return f"""{first} {_BUFFER},
 joined AS (SELECT session_id, string_agg(content, chr(10) ORDER BY seq) AS body FROM buffer GROUP BY 1),
-sized AS (SELECT session_id, body, {_tokens('body')} AS tokens, {_tokens('body')} <= 400 AS fits FROM joined),
-made AS (SELECT session_id, fits, tokens, CASE WHEN fits THEN concat('[Current Session] ', body, chr(10), chr(10), '--- Session: ', substring(session_id, 1, 20), ' | Sources: working:1 | Tokens: ', tokens, '/400 ---') ELSE '{_EMPTY}' END AS text FROM sized)
+sized AS (SELECT session_id, body, {_tokens('body')} AS tokens, {_tokens('body')} <= {budget} AS fits FROM joined),
+made AS (SELECT session_id, fits, tokens, CASE WHEN fits THEN concat('[Current Session] ', body, chr(10), chr(10), '--- Session: ', substring(session_id, 1, 20), ' | Sources: working:1 | Tokens: ', tokens, '/{budget} ---') ELSE '{_EMPTY}' END AS text FROM sized)
 """
+
+
+_CONTEXT = _context(400)
+# The fixtures' buffers and summaries have sessions of their own, so a session has candidates of one kind.
+CONTEXT_ASSEMBLED = f"""{_context(800, "WITH RECURSIVE")}, {_SUMMARIES}, {_ACCESS}, {_SCORED}, {_greedy(0.85)},
+ordered AS (SELECT session_id, id, tokens, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, created_at DESC, id) AS n FROM scored JOIN keeps USING (session_id, id)),
+{_FILL.format(budget=800)},
+chosen AS (SELECT session_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS k FROM filled),
+notes AS (SELECT c.session_id, string_agg(content, chr(10) ORDER BY k) AS body, count(*) AS n FROM chosen c JOIN summaries s USING (id) GROUP BY 1),
+counted AS (SELECT session_id, count(*) AS considered FROM scored GROUP BY 1),
+shown AS (
+  SELECT f.session_id, considered.considered, coalesce(n, 0) AS n_selected, budget_used, CASE WHEN n > 0 THEN concat('current_session:', n) ELSE '' END AS sources,
+    CASE WHEN n > 0 THEN concat('[Current Session Notes] ', body, chr(10), chr(10), '--- Session: ', substring(f.session_id, 1, 20), ' | Sources: current_session:', n, ' | Tokens: ', budget_used, '/800 ---') ELSE '{_EMPTY}' END AS text
+  FROM filled f JOIN counted considered USING (session_id) LEFT JOIN notes USING (session_id)
+  UNION ALL SELECT session_id, 1, CAST(fits AS BIGINT), CASE WHEN fits THEN tokens ELSE 0 END, CASE WHEN fits THEN 'working:1' ELSE '' END, text FROM made)
+SELECT session_id, considered, n_selected, budget_used, 800 - budget_used AS budget_remaining, sources, text, {_tokens('text')} AS total_tokens FROM shown"""
 CONTEXT_SUMMARY = f"{_CONTEXT} SELECT session_id, CAST(1 AS BIGINT) AS considered, CAST(fits AS BIGINT) AS n_selected, CASE WHEN fits THEN tokens ELSE 0 END AS budget_used, 400 - CASE WHEN fits THEN tokens ELSE 0 END AS budget_remaining, CASE WHEN fits THEN 'working:1' ELSE '' END AS sources, {_tokens('text')} AS total_tokens FROM made"
 CONTEXT_RENDER = f"{_CONTEXT} SELECT session_id, text FROM made"
 
@@ -149,13 +231,27 @@ SELECT root, id, CAST(1 AS BIGINT) AS hop FROM first UNION ALL SELECT s.root, s.
 GRAPH_SCHEMA = f"""WITH {_GRAPH}, a AS (SELECT 'entity_type' AS kind, entity_type AS name, CAST(max(k) AS DOUBLE) AS k FROM entities GROUP BY 2 UNION ALL SELECT 'predicate', predicate, max(confidence) FROM relations GROUP BY 2)
 SELECT kind, name, row_number() OVER (PARTITION BY kind ORDER BY k DESC, name) AS position FROM a"""
 GRAPH_STATS = f"WITH {_GRAPH} SELECT (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM relations) AS relations"
-_CONF = "CASE WHEN {0} < 1 THEN concat('[', printf('%.2f', {0}), ']') ELSE '' END"
-GRAPH_TEXT = f"""WITH {_GRAPH},
+_CONF = "CASE WHEN {0} < 1 THEN concat(' [conf:', printf('%.2f', {0}), ']') ELSE '' END"
+_AROUND = """near1 AS (SELECT r.id AS root, 1 AS hop, e.* FROM {roots} r JOIN sides e ON e.via = r.id),
+near2 AS (
+  SELECT n.root, 2 AS hop, e.* FROM (SELECT DISTINCT root, other FROM near1 WHERE other <> root AND other IN (SELECT id FROM entities)) n JOIN sides e ON e.via = n.other
+  WHERE e.other <> n.root AND NOT EXISTS (SELECT 1 FROM near1 f WHERE f.root = n.root AND f.other = e.other)),
+around AS (SELECT * FROM near1 UNION ALL SELECT * FROM near2)"""
+_SIDES = "sides AS (SELECT subject_id AS via, object_id AS other, true AS outgoing, predicate, confidence FROM relations UNION ALL SELECT object_id, subject_id, false, predicate, confidence FROM relations)"
+
+
+def _graph_text(depth: int) -> str:
+    return f"""WITH {_GRAPH}, {_SIDES}, roots AS (SELECT id FROM entities WHERE entity_type = 'region'), {_AROUND.format(roots='roots')},
 lines AS (
-  SELECT subject_id AS id, 0 AS o, -r.confidence AS c, object_id AS other, concat('  → ', predicate, ' → ', e.label, {_CONF.format('r.confidence')}) AS line FROM relations r JOIN entities e ON e.id = object_id WHERE subject_id <> object_id
-  UNION ALL SELECT object_id, 1, -r.confidence, subject_id, concat('  ← ', e.label, ' → ', predicate, {_CONF.format('r.confidence')}) FROM relations r JOIN entities e ON e.id = subject_id WHERE subject_id <> object_id),
-bodies AS (SELECT id, string_agg(line, chr(10) ORDER BY o, c, other) AS body FROM lines GROUP BY 1)
+  SELECT root AS id, NOT outgoing AS o, hop, CASE WHEN hop > 1 THEN via ELSE '' END AS v, -a.confidence AS c, other,
+    concat(CASE WHEN outgoing THEN concat('  → ', predicate, ' → ', e.label) ELSE concat('  ← ', e.label, ' → ', predicate) END, {_CONF.format('a.confidence')}) AS line
+  FROM around a JOIN entities e ON e.id = other WHERE hop <= {depth}),
+bodies AS (SELECT id, string_agg(line, chr(10) ORDER BY o, hop, v, c, other) AS body FROM lines GROUP BY 1)
 SELECT e.id, concat('Entity: ', label, ' (', entity_type, ')', CASE WHEN body IS NULL THEN '' ELSE concat(chr(10), body) END) AS text FROM entities e LEFT JOIN bodies USING (id) WHERE entity_type = 'region'"""
+
+
+GRAPH_TEXT, GRAPH_TEXT_2HOP = _graph_text(1), _graph_text(2)
+NEIGHBOR_RELATIONS = f"WITH {_GRAPH}, {_SIDES}, roots AS (SELECT id FROM entities WHERE entity_type = 'region'), {_AROUND.format(roots='roots')} SELECT root, CAST(hop AS BIGINT) AS hop, via, other, outgoing, predicate, confidence FROM around"
 FACT_LINES = f"WITH {_GRAPH} SELECT subject_id, concat(subject, ' → ', predicate, ' → ', object, {_CONF.format('confidence')}) AS line FROM ({_TRIPLES})"
 ENTITY_SEARCH = f"WITH {_GRAPH} SELECT id, label, confidence FROM entities WHERE lower(label) LIKE '%on_1%'"
 ENTITY_BY_LABEL = f"""WITH {_GRAPH}
@@ -169,7 +265,7 @@ DEPRECATE_RELATION = f"WITH {_GRAPH} SELECT subject_id, predicate, object_id, CA
 # --- vectors --------------------------------------------------------------------------------
 
 _COSINE = "coalesce(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 0)"
-_TOPK = """scored AS (SELECT q.id AS query_id, v.id, v.seq, v.created_at, {cosine} AS similarity FROM {table} v JOIN vectors q ON q.seq % 100 = 0),
+_TOPK = """scored AS (SELECT q.id AS query_id, v.id, v.seq, v.created_at, {cosine} AS similarity FROM {table} v JOIN vectors q ON q.seq % 20 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, created_at DESC, seq) AS n FROM scored)
 SELECT query_id, id, round(similarity, 6) AS similarity FROM ranked WHERE n <= {k}"""
 COSINE_TOPK = f"WITH {_VECTORS}, " + _TOPK.format(cosine=_COSINE, table="vectors", k=20)
@@ -199,7 +295,7 @@ _TOKENS_OF = _tokens("content")
 COMPRESS_WORKING = f"WITH {_BUFFER}, c AS ({_compressed('buffer', 'tokens', 'seq', 'chr(10)', 100)}) SELECT session_id, content, original_count, original_tokens, {_TOKENS_OF} AS token_count FROM c"
 COMPRESS_SESSION = f"WITH {_SUMMARIES}, c AS ({_compressed('summaries WHERE tier = 1', 'token_count', 'created_at DESC, id', 'concat(chr(10), chr(10))', 8000, '')}) SELECT content, original_count, original_tokens, {_TOKENS_OF} AS token_count FROM c"
 COMPRESS_EPOCH = f"WITH {_SUMMARIES}, c AS ({_compressed('summaries WHERE tier = 1', 'token_count', 'created_at DESC, id', 'concat(chr(10), chr(10))', 100)}) SELECT session_id, content, original_count, original_tokens, {_TOKENS_OF} AS token_count FROM c WHERE original_count >= 10"
-ARCHIVE_SESSION = f"WITH {_BUFFER}, c AS ({_compressed('buffer WHERE CAST(session_id AS BIGINT) % 2 = 0', 'tokens', 'seq', 'chr(10)', 4000)}) SELECT session_id, 'session_archive' AS kind, content, original_count, original_tokens, {_TOKENS_OF} AS token_count FROM c"
+ARCHIVE_SESSION = f"WITH {_BUFFER}, c AS ({_compressed('buffer', 'tokens', 'seq', 'chr(10)', 4000)}) SELECT session_id, 'session_archive' AS kind, content, original_count, original_tokens, {_TOKENS_OF} AS token_count FROM c"
 LINEAGE = f"WITH {_BUFFER} SELECT session_id AS summary_id, id AS source_id FROM buffer"
 
 # --- statistics and sessions ----------------------------------------------------------------
@@ -250,7 +346,7 @@ log AS (
   SELECT seq * 1000 AS seq, role AS subject_id, {_predicate('text')} AS predicate, concat('conv', conv_id) AS object_id FROM judged WHERE quality <> 'rejected' AND kind = 'fact'
   UNION ALL SELECT seq * 1000, 'User', 'prefers', role FROM judged WHERE quality <> 'rejected' AND kind = 'preference'
   UNION ALL SELECT seq * 1000 + 1, 'User', 'prefers', concat('conv', conv_id) FROM judged WHERE quality <> 'rejected' AND kind = 'preference'), {_FIFO}
-SELECT l.seq, l.subject_id, l.predicate, l.object_id, e.seq IS NULL AS active, CASE WHEN e.seq IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM log l LEFT JOIN ended e ON e.seq = l.seq"""
+SELECT l.seq // 1000 AS seq, l.seq % 1000 AS n, l.subject_id, l.predicate, l.object_id, e.seq IS NULL AS active, CASE WHEN e.seq IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM log l LEFT JOIN ended e ON e.seq = l.seq"""
 
 # --- further getters and changes ------------------------------------------------------------
 
@@ -262,7 +358,7 @@ ENTITY_BY_ID = f"WITH {_GRAPH} SELECT id, label, entity_type FROM entities WHERE
 ALL_ENTITIES = f"WITH {_GRAPH} SELECT id, label, strftime(TIMESTAMP '2024-01-01' + to_minutes(k), {_FMT}) AS updated FROM entities"
 SUMMARY_BY_ID = f"WITH {_SUMMARIES} SELECT id, tier, token_count FROM summaries WHERE id = '7'"
 SUMMARIES_BY_SESSION = f"WITH {_SUMMARIES} SELECT id, tier, strftime(created_at, {_FMT}) AS created FROM summaries WHERE session_id = 'src2'"
-CORE_MEMORY = f"WITH {_SUMMARIES} SELECT session_id, string_agg(CASE WHEN length(content) > 40 THEN concat(substring(content, 1, 40), '...') ELSE content END, chr(10) ORDER BY seq DESC) AS text FROM summaries WHERE tier = 3 GROUP BY 1"
+CORE_MEMORY = f"WITH {_SUMMARIES} SELECT session_id, string_agg(content, chr(10) ORDER BY seq DESC) AS text FROM summaries WHERE tier = 3 GROUP BY 1"
 SESSION_INFO = f"WITH {_SESSIONS} SELECT id, strftime(started_at, {_FMT}) AS started, id <> '1' AND ended_at IS NULL AS is_active FROM sessions WHERE id IN ('1', '2')"
 NEIGHBORS_REACH = f"""WITH RECURSIVE {_GRAPH}, {_EDGES},
 walk AS (SELECT 'r1' AS id, CAST(0 AS BIGINT) AS hop UNION SELECT other, hop + 1 FROM walk JOIN edges ON near = id WHERE hop < 4)
@@ -278,3 +374,22 @@ STATUS_TEXT = f"""SELECT concat_ws(chr(10), '=== Memory Status ===', 'Session: 1
   printf('Tier 2 (Epoch):    %d entries, ~%d tokens', tier2_count, tier2_tokens), printf('Tier 3 (Core):     %d entries, ~%d tokens', tier3_count, tier3_tokens),
   printf('Knowledge Graph:   %d entities, %d relations', entities, relations), printf('Vector Store:      %d vectors', vectors), printf('Total Tokens:      ~%d', total_tokens)) AS text
 FROM ({STATUS})"""
+
+# --- whole-table getters, decay, upsert by id -------------------------------------------------
+
+_LESS = "CASE WHEN confidence > 0.1 THEN confidence * (1 - 0.2::DOUBLE) ELSE confidence END"
+DECAY_ALL = f"""WITH {_GRAPH}, {_VECTORS},
+closing AS (SELECT *, CASE WHEN predicate = 'part_of' THEN 1 END AS ended FROM relations)
+SELECT 'entity' AS kind, id, round({_LESS}, 9) AS confidence FROM entities
+UNION ALL SELECT 'relation', concat(subject_id, ' ', object_id), round(CASE WHEN ended IS NULL THEN {_LESS} ELSE confidence END, 9) FROM closing
+UNION ALL SELECT 'vector', id, round({_LESS}, 9) FROM vectors"""
+UPSERT_BY_ID = f"""WITH {_GRAPH}
+SELECT id, CASE WHEN entity_type = 'nation' THEN upper(label) ELSE label END AS label, strftime(TIMESTAMP '2024-01-01' + to_minutes(k), {_FMT}) AS created, CASE WHEN entity_type = 'nation' THEN '2024-02-01 00:00:00' ELSE strftime(TIMESTAMP '2024-01-01' + to_minutes(k), {_FMT}) END AS updated FROM entities
+UNION ALL SELECT 'new', 'New', '2024-02-01 00:00:00', '2024-02-01 00:00:00'"""
+VECTOR_BY_ID = f"WITH {_VECTORS} SELECT id, source_type, CAST(len(embedding) AS BIGINT) AS dimensions FROM vectors WHERE id = '7'"
+ALL_VECTORS = f"WITH {_VECTORS} SELECT id, source_type, round(confidence, 6) AS confidence FROM vectors"
+ALL_RELATIONS = f"WITH {_GRAPH} SELECT subject_id, predicate, object_id, confidence FROM relations"
+WORKING_MEMORY = f"WITH {_BUFFER} SELECT id, session_id, seq, content, tokens FROM buffer"
+WORKING_COUNT = f"WITH {_BUFFER} SELECT '1' AS session_id, count(*) AS n FROM buffer WHERE session_id = '1' UNION ALL SELECT 'none', 0"
+CORE_MEMORY_ALL = f"WITH {_SUMMARIES} SELECT 'all' AS scope, string_agg(content, chr(10) ORDER BY created_at DESC, id) AS text FROM summaries WHERE tier = 3 UNION ALL SELECT 'none', 'No core memories stored yet.'"
+COMPRESS_EPOCH_ALL = f"WITH {_SUMMARIES}, c AS ({_compressed('summaries WHERE tier = 1', 'token_count', 'created_at DESC, id', 'concat(chr(10), chr(10))', 2000, '')}) SELECT content, original_count, original_tokens, {_TOKENS_OF} AS token_count FROM c WHERE original_count >= 10"

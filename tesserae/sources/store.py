@@ -56,6 +56,16 @@ class Store:
         latest = W.partitionBy(key).orderBy(F.desc("_at"))
         return log.withColumn("_k", F.row_number().over(latest)).where("_k = 1 and _op = 'put'").drop("_k", "_op", "_at")
 
+    def first(self, table: str, where: Column, order: list[Column]) -> DataFrame:
+        """At most one row: the first in order of those that fit."""
+        return self.table(table).where(where).orderBy(*order).limit(1)
+
+    def wipe(self) -> None:
+        """All tables are empty from now on."""
+        for name in TABLES:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
     def snapshot(self, path: str | None = None) -> Store:
         """Write all current tables to a new folder and open it."""
         place = path or f"{self.path}-{uuid.uuid4().hex[:8]}"

@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
+#: Used only by local sessions that name no spark.checkpoint.dir, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's own folder below spark.checkpoint.dir; removed when Python ends."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
+        base = FALLBACK_DIR
     place = f"{base.rstrip('/')}/tesserae-{sc.applicationId}"
     if getattr(sc, "_tesserae_dir", None) != place:
         sc._tesserae_dir = place

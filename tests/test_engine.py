@@ -149,7 +149,7 @@ def test_graph_reads(spark):
     assert {(x["id"], x["hop"]) for x in graph.neighbours(roots, r, 5).collect()} == {("b", 1), ("zz", 1), ("c", 2)}
     assert {(x["id"], x["hop"]) for x in graph.reach(roots, r, 3).collect()} == {("b", 1), ("zz", 1), ("c", 2), ("d", 3)}
     assert graph.facts(e, r).count() == 4
-    assert graph.serialize_entity(roots, e, r).first()["text"] == "Entity: A (t)\n  → p → B[0.50]"
+    assert graph.serialize_entity(roots, e, r).first()["text"] == "Entity: A (t)\n  → p → A\n  → p → B [conf:0.50]\n  ← A → p"  # a relation to itself shows on both sides
     left_e, left_r = graph.remove_entities(e, r, spark.createDataFrame([("B",)], "label string"))
     assert left_e.count() == 3 and left_r.count() == 3
     labels = spark.createDataFrame([("1", "50%_x", 1.0), ("2", "a\\b", 1.0)], "id string, label string, confidence double")
