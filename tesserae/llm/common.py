@@ -61,6 +61,14 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, or one like it that none of the taken ones equals in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 # --- words as hashes ------------------------------------------------------------------------
 
 

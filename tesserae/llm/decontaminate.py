@@ -4,15 +4,16 @@ Each task cuts its documents into shards. A shard's suffix array orders the posi
 by the words that follow, down to the window's length; every suffix of every benchmark item is found
 in it by binary search. From each hit that no longer one contains, the match is followed to its
 end, which gives the longest verbatim matches with their places. No shuffle is needed: a
-document lies whole in one shard. The benchmark's words go to the tasks; items are dealt into blocks
-of a bounded number of words, each of them a pass of its own whose matches are merged by document.
+document lies whole in one shard. The benchmark's words go to the tasks, in blocks of a bounded number of words; a task looks
+for one block after the other in each shard and merges what it finds row by row, so the number of blocks makes no difference to the result.
 
 Only positions whose words all occur in the block can match, so the array leaves the others out.
 
 Defined results: a null or wordless text has no words, no hits and is clean; a null item or one
-without words has no windows; equal items each count; a repeated doc_id yields one row per input
-row (one in all if the benchmark takes several blocks); a null doc_id is an ordinary row; an empty benchmark leaves all clean; extra columns of
-either table are ignored by `contamination` and kept by `decontaminate`.
+without words has no windows; equal items each count; items with a null item_id hit like any others and count as one item, whose null
+stands last in `items` and not in a digest of them; a repeated or null doc_id is an ordinary row with a row of its own in the
+result; an empty benchmark leaves all clean; extra columns of either table are ignored by `contamination`, and those of the documents are kept by
+`decontaminate`.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_classes, hash_words, maybe_broadcast, shared_table, ship, slices, text_bytes
+from .common import byte_classes, hash_words, ship, slices, text_bytes
 
-#: Words of a window; words of benchmark items that one broadcast block holds.
-WINDOW, BLOCK_WORDS = 10, 2_000_000
+#: Words of a window; words of benchmark items that one broadcast block holds; bytes of text in a shard, and in one if there are several blocks.
+WINDOW, BLOCK_WORDS, SHARD, LARGE_SHARD = 10, 2_000_000, 4 << 20, 16 << 20
 _CLASSES = byte_classes("alnum", lower=True)
 
 
@@ -153,37 +154,67 @@ def _covered(spans: np.ndarray) -> int:
     return int(np.maximum(spans[:, 0] + spans[:, 1] - begin, 0).sum())
 
 
-_ROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_words", pa.int64())])))])
+_FOUND = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_words", pa.int64())])))])
 _ROW_SQL = "doc_id long, n_words long, n_hit long, items array<string>, matches array<struct<item_id:string,doc_start:long,item_start:long,n_words:long>>"
 
 
-def _scan(blocks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _find(blocks: list, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+    """Where each text's words begin, the matches in all texts by text, and the items' names."""
+    words, first = hash_words(*text_bytes(texts), _CLASSES)
+    names: list[str | None] = []
+    parts = [np.zeros((0, 5), np.int64)]
+    for block in blocks:
+        test: TestSet = block.value
+        found = longest(test, test.code(words), first)
+        found[:, 1] += len(names)
+        names += test.ids
+        parts.append(found)
+        if len(blocks) > 1:  # one of them in memory at a time; it's read again for the next shard
+            block.__dict__.pop("_value", None)
+    found = np.concatenate(parts)
+    return first, found[np.lexsort((found[:, 3], found[:, 1], found[:, 2], found[:, 0]))], names
+
+
+def _scan(blocks: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test: TestSet = blocks.value
-        for batch in slices(batches, "text"):
-            words, first = hash_words(*text_bytes(batch.column("text")), _CLASSES)
-            found = longest(test, test.code(words), first)
+        for batch in slices(batches, "text", SHARD if len(blocks) == 1 else LARGE_SHARD):
+            first, found, names = _find(blocks, batch.column("text"))
             cuts = np.searchsorted(found[:, 0], np.arange(batch.num_rows + 1))
             hit, items, matches = [], [], []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 mine = found[a:b]
                 hit.append(_covered(mine[:, [2, 4]]) if b > a else 0)
-                items.append(sorted({test.ids[i] for i in mine[:, 1]}))
-                matches.append([{"item_id": test.ids[i], "doc_start": s, "item_start": t, "n_words": n} for _, i, s, t, n in mine.tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(hit, pa.int64()), pa.array(items, _ROW.field("items").type), pa.array(matches, _ROW.field("matches").type)], schema=_ROW)
+                items.append(sorted({names[i] for i in mine[:, 1]}, key=lambda x: (x is None, x)))
+                matches.append([{"item_id": names[i], "doc_start": s, "item_start": t, "n_words": n} for _, i, s, t, n in mine.tolist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip((np.diff(first), hit, items, matches), _FOUND, strict=True))], ["doc_id", *_FOUND.names])
 
     return run
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_words: int) -> Iterator[TestSet]:
-    """Test sets of about block_words words each; one block is in the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
+def _clean(blocks: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows without a match, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SHARD if len(blocks) == 1 else LARGE_SHARD):
+            _, found, _ = _find(blocks, batch.column("text"))
+            clean = np.ones(batch.num_rows, bool)
+            clean[found[:, 0]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_words: int) -> list:
+    """Broadcast test sets of about block_words words each; one block's rows are in the driver at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") / 5).alias("n")).first()["n"] or 0
     n = max(1, int(np.ceil(total / block_words)))
+    out = []
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         rows = part.collect()
-        yield TestSet([r["item_id"] for r in rows], [r["text"] for r in rows], window)
+        out.append(spark.sparkContext.broadcast(TestSet([r["item_id"] for r in rows], [r["text"] for r in rows], window)))
+    return out
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -191,15 +222,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = [docs.mapInArrow(_scan(spark.sparkContext.broadcast(test)), _ROW_SQL) for test in _blocks(spark, benchmark, window, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    # several passes: a document's matches are few, its words under any of them are counted anew
-    per_doc = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("matches")), lambda a, b: F.when(a["doc_start"] < b["doc_start"], -1).when(a["doc_start"] > b["doc_start"], 1).otherwise(0)).alias("matches"))
-    return per_doc.withColumn("n_hit", F.aggregate("matches", F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end")), lambda acc, m: F.struct((acc["hit"] + F.greatest(F.lit(0).cast("long"), m["doc_start"] + m["n_words"] - F.greatest(acc["end"], m["doc_start"]))).alias("hit"), F.greatest(acc["end"], m["doc_start"] + m["n_words"]).alias("end")))["hit"]).select("doc_id", "n_words", "n_hit", "items", "matches")
+    return docs.mapInArrow(_scan(_blocks(spark, benchmark, window, block_words)), _ROW_SQL)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -208,10 +231,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0).cast("long")).alias("longest_match"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without those that hold any window of the benchmark; columns stay as they are."""
-    bad = shared_table(documents.sparkSession, contamination(documents, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct(), "contaminated")
-    return documents.join(maybe_broadcast(bad, bad.count()), documents["doc_id"].cast("long") == bad["_bad_id"], "left_anti")
+    spark = documents.sparkSession
+    ship(spark)
+    return documents.mapInArrow(_clean(_blocks(spark, benchmark, window, block_words)), documents.schema)
 
 
 ORACLE = r"""
