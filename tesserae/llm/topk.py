@@ -13,11 +13,14 @@ proof, not an estimate.
 Queries go out in blocks of a bounded number of vectors, a pass over the candidates for each; within
 a task, k rows a query are kept, and a window over (query, score) finds the final ones.
 
+Components of any size that a double has are exact integers here: rows within +-NARROW go into slices, others are scored
+one by one, in 64-bit integers where the product fits and in Python's where not. Ranks follow the exact scores.
+
 Defined results: vectors that are null, empty, hold null or non-finite components, or whose id is null take no part;
 vectors of another length than the query's aren't compared with it; ties go to the smaller id; a
 repeated id is a row of its own, except that rows of the query's id are never its candidates; a query id that repeats with one and the
-same vector counts once (with several vectors, each candidate counts with its best score); components beyond
-+-2**20 are refused with an error; extra columns are ignored.
+same vector counts once, and with several vectors ranks a candidate once for each of them; a score beyond 64 bits is told as the
+largest or smallest 64-bit integer, though it ranks as what it is; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,16 +37,49 @@ from .common import ship
 
 #: Vectors of a query block; rows of a candidate block; bits of an attribute and of a query weight that the slices keep.
 QUERY_BLOCK, ROW_BLOCK, KEPT_BITS, WEIGHT_BITS = 8192, 1 << 16, 5, 4
-LARGEST = 1 << 20
+#: Largest quantised component of a row that goes into slices.
+NARROW = 1 << 20
+
+
+def quantise(x: np.ndarray, scale: int = 256) -> np.ndarray:
+    """floor(scale * x) of finite doubles, exactly: 64-bit integers if all fit, else Python's."""
+    if np.abs(x).max(initial=0) < 2**61 / scale:
+        return np.floor(x * scale).astype(np.int64)
+    whole = np.abs(x) >= 2**53  # a double of this size has no fraction, and the product may overflow
+    out = np.floor(np.where(whole, 0, x) * scale).astype(object)
+    out = np.array([int(v) for v in out.reshape(-1)], object).reshape(x.shape)
+    out[whole] = [int(v) * scale for v in x[whole]]
+    return out
+
 
+def exact(values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of rows with the query: 64-bit integers, or Python's where these might not hold them."""
+    if values.dtype != object and query.dtype != object:
+        if int(np.abs(values).max(initial=0)) * int(np.abs(query).max(initial=0)) * len(query) < 1 << 62:
+            return values @ query
+    return values.astype(object) @ query.astype(object)
 
-def quantise(column: str, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, as array<int>."""
-    return F.transform(column, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("int"))
+
+def order_key(score: int) -> bytes:
+    """Bytes that sort as the integers do."""
+    size = (abs(score).bit_length() + 7) // 8
+    raw = abs(score).to_bytes(size, "big")
+    if score >= 0:
+        return b"\x01" + size.to_bytes(4, "big") + raw
+    return b"\x00" + (0xFFFFFFFF - size).to_bytes(4, "big") + bytes(255 - b for b in raw)
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to the smaller id."""
+    if scores.dtype == object:
+        best = np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], int)
+    else:
+        best = np.lexsort((ids, -scores))[:k]
+    return ids[best], scores[best]
 
 
 def usable(column: str) -> Column:
-    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) > F.lit(1e300)))
+    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     return F.col(column).isNotNull() & (F.size(column) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
@@ -111,9 +147,7 @@ class SlicedBlock:
         picked = self.at_least(self.add(weights), k + int((self.ids == query_id).sum()), slack)
         rows = np.flatnonzero(np.unpackbits(picked.view(np.uint8), count=self.rows, bitorder="little"))
         rows = rows[self.ids[rows] != query_id]
-        scores = self.values[rows] @ query
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[best]], scores[best]
+        return best_of(self.ids[rows], exact(self.values[rows], query), k)
 
     def at_least(self, total: list[np.ndarray], k: int, slack: int) -> np.ndarray:
         """Bitmap of the rows whose sum is at least the k-th largest less slack."""
@@ -143,44 +177,61 @@ class SlicedBlock:
         return above | equal
 
 
-def _best(queries, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class PlainBlock:
+    """Rows whose components are too large for slices: all are scored."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        self.ids, self.values = ids, values
+
+    def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.flatnonzero(self.ids != query_id)
+        return best_of(self.ids[rows], exact(self.values[rows], query), k)
+
+
+def _best(queries, k: int, scale: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Candidates by length of vector, ROW_BLOCK at a time at most."""
         held: dict[int, list] = {}
         for batch in batches:
             sizes = np.diff(batch.column("v").offsets.to_numpy())
-            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for d in np.unique(sizes):
                 mine = np.flatnonzero(sizes == d)
-                values = flat[(ends[mine] - d)[:, None] + np.arange(d)]
                 kept = held.setdefault(int(d), [])
-                kept.append((ids[mine], values))
+                kept.append((ids[mine], flat[(ends[mine] - d)[:, None] + np.arange(d)]))
                 if sum(len(x) for x, _ in kept) >= ROW_BLOCK:
                     yield tuple(np.concatenate(x) for x in zip(*held.pop(int(d)), strict=True))
         for kept in held.values():
             yield tuple(np.concatenate(x) for x in zip(*kept, strict=True))
 
+    def made(ids: np.ndarray, x: np.ndarray) -> Iterator[SlicedBlock | PlainBlock]:
+        wide = np.abs(x).max(1) * scale >= NARROW
+        if not wide.all():
+            yield SlicedBlock(ids[~wide], quantise(x[~wide], scale))
+        if wide.any():
+            yield PlainBlock(ids[wide], quantise(x[wide], scale))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         asked = queries.value
-        for ids, values in blocks(batches):
-            block = SlicedBlock(ids, values)
-            for n, (query_id, query) in enumerate(asked):
-                if len(query) != values.shape[1]:
-                    continue
-                found = block.top(query, query_id, k)
-                if n in best:
-                    found = tuple(np.concatenate(x) for x in zip(best[n], found, strict=True))
-                    order = np.lexsort((found[0], -found[1]))[:k]
-                    found = found[0][order], found[1][order]
-                best[n] = found
+        for ids, x in blocks(batches):
+            for block in made(ids, x):
+                for n, (query_id, query) in enumerate(asked):
+                    if len(query) != x.shape[1]:
+                        continue
+                    plain = query.dtype == object or int(np.abs(query).max()) >= 1 << 40  # beyond what bitmaps' weights and norms hold well
+                    found = (PlainBlock(block.ids, block.values) if plain else block).top(query, query_id, k)
+                    if n in best:
+                        found = best_of(*(np.concatenate(x) for x in zip(best[n], found, strict=True)), k)
+                    best[n] = found
         for a in range(0, len(asked), 4096):
             some = [n for n in range(a, min(len(asked), a + 4096)) if n in best and len(best[n][0])]
             if some:
-                sizes = [len(best[n][0]) for n in some]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([asked[n][0] for n in some], sizes), pa.int64()), pa.array(np.concatenate([best[n][0] for n in some]), pa.int64()), pa.array(np.concatenate([best[n][1] for n in some]), pa.int64())], ["query_id", "vec_id", "score"])
+                scores = [int(v) for n in some for v in best[n][1]]
+                columns = [pa.array(np.repeat([asked[n][0] for n in some], [len(best[n][0]) for n in some]), pa.int64()), pa.array(np.concatenate([best[n][0] for n in some]), pa.int64()), pa.array([max(-(1 << 63), min((1 << 63) - 1, v)) for v in scores], pa.int64()), pa.array(list(map(order_key, scores)), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "key"])
 
     return run
 
@@ -189,18 +240,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
     """(query_id, rank, vec_id, score): the k best candidates of each query. Both tables: vec_id, embedding."""
     spark = candidates.sparkSession
     ship(spark)
-    take = lambda df: df.select(F.col("vec_id").cast("long").alias("id"), "embedding").where(usable("embedding") & F.col("id").isNotNull()).select("id", quantise("embedding", scale).alias("v"))
+    take = lambda df: df.select(F.col("vec_id").cast("long").alias("id"), "embedding").where(usable("embedding") & F.col("id").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("v"))
     asked, rows = take(queries).distinct(), take(candidates)
     n = max(1, -(-asked.count() // query_block))
     found = None
     for b in range(n):
         part = (asked if n == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b)).collect()
-        block = [(r["id"], np.array(r["v"], np.int64)) for r in sorted(part)]
-        if any(np.abs(v).max(initial=0) > LARGEST for _, v in block):
-            raise ValueError(f"components beyond {LARGEST} aren't supported")
-        best = rows.mapInArrow(_best(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score long")
+        block = [(r["id"], quantise(np.array(r["v"], float), scale)) for r in sorted(part)]
+        best = rows.mapInArrow(_best(spark.sparkContext.broadcast(block), k, scale), "query_id long, vec_id long, score long, key binary")
         found = best if found is None else found.unionByName(best)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    order = W.partitionBy("query_id").orderBy(F.desc("key"), F.asc("vec_id"))
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
