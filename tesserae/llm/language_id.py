@@ -10,7 +10,7 @@ shuffle; the weights that go out have a fixed size for each language.
 Defined results: a text that is null or has no letter is `und` with score 0; if nothing can be learnt
 from, all are; ties go to the first language by name; documents without a language or id aren't learnt from; repeated
 rows count each; an empty table gives an empty one; extra columns are ignored by `predict` and kept by
-`keep_identified`. Whole texts are read, long ones too.
+`keep_identified`, whatever their names. Whole texts are read, long ones too.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, ship, slices
+from .common import fresh, mix, ship, slices
 
 #: Buckets of hashed n-grams; lengths of n-grams; documents of the training sample; share of it for the temperature; passes.
 BUCKETS, GRAMS, SAMPLE, CALIBRATION, EPOCHS = 1 << 15, (1, 2, 3), 2400, 0.2, 3
@@ -180,12 +180,12 @@ def hash_order(at: int) -> int:
     return int(mix(np.array([at], np.uint64))[0])
 
 
-def _predict(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict(model, names: tuple[str, str] = ("lang_pred", "score")) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Model = model.value
         for batch in slices(batches, "text", 1 << 20):
             said = [known.predict(f, c) for f, c in bags(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], [*batch.schema.names, *names])
 
     return run
 
@@ -205,8 +205,7 @@ def keep_identified(documents: DataFrame, model: Model, least: float = 0.3) -> D
 
     spark = documents.sparkSession
     ship(spark)
-    if {"lang_pred", "score"} & set(documents.columns):
-        raise ValueError("the documents have a column lang_pred or score already")
-    schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    said = documents.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
-    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*documents.columns)
+    lang, score = fresh("lang_pred", documents.columns), fresh("score", documents.columns)
+    schema = T.StructType([*documents.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    said = documents.mapInArrow(_predict(spark.sparkContext.broadcast(model), (lang, score)), schema)
+    return said.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*documents.columns)

@@ -1,17 +1,17 @@
 """Line dedup by site-relative frequency, in DataFrame operations only.
 
 Lines of a page are counted once a page and host. A line on more than a given share of its host's
-pages (and on a few of them at least) is boilerplate there, and is dropped from that host's pages. Counts
+pages (and on two of them at least, so that a lone page keeps its lines) is boilerplate there, and is dropped from that host's pages. Counts
 have a partial stage on the mappers' side. A host has few boilerplate lines by the ratio's
 definition (their shares add up to the lines of a mean page at most), so they fit a list for each host; the
-lists are broadcast if they're few by count, and joined by shuffle otherwise. Texts themselves are
+lists are broadcast if they're small by bytes, and joined by shuffle otherwise. Texts themselves are
 not shuffled in the first case.
 
 Lines are split at newlines and compared as they are, by 64-bit hash within a host.
 
 Defined results: blank lines are never counted nor dropped; null text stays null, with no lines; an empty text
-has one blank line; a null host counts as the empty one; repeated rows are pages of their own; hosts of few pages keep all
-lines; a page of boilerplate alone keeps an empty text; extra columns are kept by `clean`, a clashing `_host` or `_boilerplate` is not supported.
+has one blank line; a null host counts as the empty one; repeated rows are pages of their own; a host's only page keeps all
+lines; a page of boilerplate alone keeps an empty text; extra columns are kept by `clean`, whatever their names, but `n_lines` and `n_removed`, which the new ones replace.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, shared_table
+from .common import fresh, shared_table
 
-#: A line is boilerplate on more than so many hundredths of its host's pages, and at least so many pages.
-PERCENT, PAGES = 10, 5
-#: Hosts whose lists are broadcast.
-HOSTS = 20_000
+#: A line is boilerplate on more than so many hundredths of its host's pages, and on more than one page.
+PERCENT, PAGES = 10, 2
+#: Bytes of hosts' lists that are broadcast.
+LISTS = 16 << 20
 
 
 def _lines(text: str) -> Column:
@@ -36,25 +36,26 @@ def _full(line: Column) -> Column:
 
 
 def boilerplate(documents: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, pages: int = PAGES) -> DataFrame:
-    """(_host, _boilerplate): hashes of each host's boilerplate lines; hosts without any are left out."""
-    page = documents.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col(text).alias("_text"))
-    lines = page.select("_host", F.explode(F.array_distinct(F.transform(F.filter(_lines("_text"), _full), lambda x: F.xxhash64(x)))).alias("line"))
-    often = lines.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= pages)
-    totals = page.groupBy("_host").agg(F.count(F.lit(1)).alias("total"))
-    return often.join(totals, "_host").where(F.col("n") * 100 > F.col("total") * percent).groupBy("_host").agg(F.collect_list("line").alias("_boilerplate"))
+    """(host, boilerplate): hashes of each host's boilerplate lines; hosts without any are left out."""
+    page = documents.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
+    lines = page.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines("text"), _full), lambda x: F.xxhash64(x)))).alias("line"))
+    often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= pages)
+    totals = page.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    return often.join(totals, "host").where(F.col("n") * 100 > F.col("total") * percent).groupBy("host").agg(F.collect_list("line").alias("boilerplate"))
 
 
 def clean(documents: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, pages: int = PAGES) -> DataFrame:
-    """The documents without their hosts' boilerplate lines, with n_lines and n_removed."""
-    found = shared_table(documents.sparkSession, boilerplate(documents, host, text, percent, pages), "boilerplate")
-    marked = documents.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(maybe_broadcast(found, found.count(), HOSTS), "_host", "left")
-    gone = lambda x: _full(x) & F.array_contains("_boilerplate", F.xxhash64(x))
-    kept = F.filter(_lines(text), lambda x: ~gone(x))
-    hit = F.col("_boilerplate").isNotNull() & F.col(text).isNotNull()
+    """The documents without their hosts' boilerplate lines, with n_lines and n_removed; documents' own columns of these names go."""
+    name, gone, kept = (fresh(x, documents.columns) for x in ("_host", "_boilerplate", "_kept"))
+    found = shared_table(documents.sparkSession, boilerplate(documents, host, text, percent, pages), "boilerplate").toDF(name, gone)
+    size = found.agg(F.sum(F.size(gone) * 8 + F.octet_length(name) + 32)).first()[0] or 0
+    marked = documents.withColumn(name, F.coalesce(F.col(host).cast("string"), F.lit(""))).join(F.broadcast(found) if size <= LISTS else found, name, "left")
+    left = F.filter(_lines(text), lambda x: ~(_full(x) & F.array_contains(gone, F.xxhash64(x))))
+    marked = marked.withColumn(kept, F.when(F.col(gone).isNotNull() & F.col(text).isNotNull(), left))
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text))).cast("long")
-    marked = marked.withColumns({"n_lines": n, "_kept": F.when(hit, kept)})
-    marked = marked.withColumns({"n_removed": F.coalesce(F.col("n_lines") - F.size("_kept"), F.lit(0)).cast("long"), text: F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text))})
-    return marked.select(*documents.columns, "n_lines", "n_removed")
+    removed = F.coalesce(n - F.size(kept), F.lit(0)).cast("long")
+    own = [F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in documents.columns if c.lower() not in ("n_lines", "n_removed")]
+    return marked.select(*own, n.alias("n_lines"), removed.alias("n_removed"))
 
 
 ORACLE = f"""
