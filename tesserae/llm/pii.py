@@ -9,7 +9,7 @@ A found span must hold a digit or an `@`, or `at`/`dot` in any case between brac
 these needs no network. Windows of WINDOW characters overlap by half around such places. Their emissions are averaged with
 weights that favour a window's middle, and one Viterbi pass over each run of windows
 decodes it as a whole, so that no span is cut or told twice at a window's edge. A span of the
-network is kept if it passes its kind's plain check and overlaps no pattern's span.
+network is kept if it passes its kind's plain check and overlaps no pattern's span, unless it takes in one of its own kind whole.
 
 The patterns' spans always stay: leftmost, non-overlapping for each kind, and those that fail their check are dropped.
 
@@ -20,22 +20,23 @@ long one takes time in proportion.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, size of embedding and of each direction's state; batches, texts of a batch and step size of the training, texts in all.
-WINDOW, EMBEDDING, HIDDEN, STEPS, BATCH, RATE, POOL = 48, 12, 16, 300, 64, 0.012, 4000
-#: Characters kept around the stretches that a place calls for, on each side.
-REACH = 24
+WINDOW, EMBEDDING, HIDDEN, STEPS, BATCH, RATE, POOL = 48, 12, 24, 500, 64, 0.02, 12_000
+#: Characters kept around the stretches that a place calls for, on each side; characters of a piece of a long run, and of its margins.
+REACH, PIECE, MARGIN = 24, 4096, 192
 TAGS = 1 + 2 * len(KINDS)
 
 # --- patterns -------------------------------------------------------------------------------
@@ -89,7 +90,7 @@ def _plain_check(kind: str, text: str) -> bool:
         dots = r"(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\sdot\s)"
         if re.search(r"(?i)\sat\s", text):  # two plain words make an address only with the other one
             dots = r"\sdot\s"
-        return bool(re.fullmatch(rf"(?i)[a-z0-9._%+-]+(?:\s*(?:@|[\[(]\s*at\s*[\])])\s*|\sat\s)[a-z0-9-]+(?:{dots}[a-z0-9-]+)+", text))
+        return bool(re.fullmatch(rf"(?i)[\w.%+-]+(?:\s*(?:@|[\[(]\s*at\s*[\])])\s*|\sat\s)[\w-]+(?:{dots}[\w-]+)+", text))
     if kind == "ip":
         parts = re.split(r"[^0-9]+", text)
         return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts) and bool(re.fullmatch(r"[0-9]+(?:\s*[\[(]?\s*(?:\.|dot)\s*[\])]?\s*[0-9]+){3}", text))
@@ -99,7 +100,7 @@ def _plain_check(kind: str, text: str) -> bool:
 
 
 #: An address as `_plain_check` takes it, within more text.
-_WRITTEN = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?:\s*(?:@|[\[(]\s*at\s*[\])])\s*[a-z0-9-]++(?:(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\sdot\s)[a-z0-9-]++)+|\sat\s[a-z0-9-]++(?:\sdot\s[a-z0-9-]++)+)")
+_WRITTEN = re.compile(r"(?i)(?<![\w.%+-])[\w.%+-]++(?:\s*(?:@|[\[(]\s*at\s*[\])])\s*[\w-]++(?:(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\sdot\s)[\w-]++)+|\sat\s[\w-]++(?:\sdot\s[\w-]++)+)")
 
 # --- labelled spans -------------------------------------------------------------------------
 
@@ -108,50 +109,61 @@ class Texts:
     """Seeded texts of WINDOW characters with tags."""
 
     def __init__(self, seed: int):
-        self.random = np.random.default_rng(seed)
+        self.random = random.Random(seed)
 
     def pick(self, *of: str) -> str:
-        return of[int(self.random.integers(len(of)))]
+        return self.random.choice(of)
 
     def digits(self, n: int) -> str:
-        return "".join(map(str, self.random.integers(0, 10, n)))
+        return "".join(self.random.choices("0123456789", k=n))
 
     def word(self) -> str:
-        return "".join(self.pick("th", "an", "er", "ing", "on", "ed", "re", "ble", "es", "ou", "a", "é", "ü", "ción", "sch", "at", "st", "ment") for _ in range(int(self.random.integers(1, 4))))
+        return "".join(self.pick("th", "an", "er", "ing", "on", "ed", "re", "ble", "es", "ou", "a", "é", "ü", "ción", "sch", "at", "st", "ment") for _ in range(self.random.randrange(1, 4)))
 
     def entity(self, kind: str) -> str:
-        n = lambda: str(int(self.random.integers(0, 256)))
+        n = lambda: str(self.random.randrange(0, 256))
         if kind == "email":
-            name, host = self.word() + self.pick("", ".", "_") + self.digits(int(self.random.integers(0, 3))), self.word().replace("é", "e") + self.digits(int(self.random.integers(0, 2)))
+            name, host = self.word() + self.pick("", ".", "_") + self.digits(self.random.randrange(0, 3)), self.word().replace("é", "e") + self.digits(self.random.randrange(0, 2))
             at, dot = self.pick(("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", "."), ("[at]", "[dot]"))
             return name + at + host + dot + self.pick("com", "org", "net", "example" + dot + "com")
         if kind == "ip":
             return self.pick(".", "[.]", ".", " . ", "(dot)").join(n() for _ in range(4))
         if kind == "card":
-            while not luhn(digits := self.pick("4", "5") + self.digits(15)):
+            while not luhn(digits := self.pick("3", "4", "5", "6") + self.digits(15)):
                 pass
             return self.pick("", " ", "-", ".", "/").join(digits[i : i + 4] for i in range(0, 16, 4))
         return self.pick("+1 ({0}) {1}-{2}", "({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "+44 {0} {1} {2}", "00{3} {0} {1} {2}", "{0}/{1}-{2}").format(self.digits(3), self.digits(3), self.digits(4), self.digits(2))
 
     def other(self) -> str:
-        hexes = "".join(self.pick(*"0123456789abcdef") for _ in range(int(self.random.integers(8, 41))))
-        return self.pick(f'token = "{hexes}"', hexes, f"20{self.digits(2)}-{self.digits(2)}-{self.digits(2)}", f"{self.digits(2)}:{self.digits(2)}:{self.digits(2)}", f"v{self.digits(1)}.{self.digits(1)}.{self.digits(1)}", f"${self.digits(3)}.{self.digits(2)}", self.digits(int(self.random.integers(1, 8))), f"version {self.digits(1)}", f"{self.digits(1)},{self.digits(3)},{self.digits(3)}", f"#{self.digits(5)}", f"{self.digits(2)}/{self.digits(2)}/20{self.digits(2)}", self.digits(12), f"@{self.word()}", f"{self.digits(3)} - {self.digits(3)}")
+        hexes = "".join(self.pick(*"0123456789abcdef") for _ in range(self.random.randrange(8, 41)))
+        return self.pick(f'token = "{hexes}"', hexes, f"20{self.digits(2)}-{self.digits(2)}-{self.digits(2)}", f"{self.digits(2)}:{self.digits(2)}:{self.digits(2)}", f"v{self.digits(1)}.{self.digits(1)}.{self.digits(1)}", f"${self.digits(3)}.{self.digits(2)}", self.digits(self.random.randrange(1, 8)), f"version {self.digits(1)}", f"{self.digits(1)},{self.digits(3)},{self.digits(3)}", f"#{self.digits(5)}", f"{self.digits(2)}/{self.digits(2)}/20{self.digits(2)}", self.digits(12), f"@{self.word()}", f"{self.digits(3)} - {self.digits(3)}")
 
     def sample(self) -> tuple[str, np.ndarray]:
+        """WINDOW characters; some texts begin or end within it, beside padding (`\0`, outside)."""
         text, tags = "", []
         while len(text) < WINDOW + 40:
             what = self.random.random()
-            if what < 0.16:
-                k = int(self.random.integers(len(KINDS)))
+            if what < 0.26:
+                k = self.random.randrange(len(KINDS))
                 piece = self.entity(KINDS[k])
                 tags += [1 + 2 * k] + [2 + 2 * k] * (len(piece) - 1)
             else:
-                piece = self.other() if what < 0.3 else self.word() if what < 0.9 else self.pick(".", ",", "!!", "###", "\n", "***", ":")
+                piece = self.other() if what < 0.4 else self.word() if what < 0.92 else self.pick(".", ",", "!!", "###", "\n", "***", ":")
+                if self.random.random() < 0.2:
+                    piece = self.pick(piece.capitalize(), piece.upper())
                 tags += [0] * len(piece)
             text += piece
             if self.random.random() < 0.95:
-                text, tags = text + " ", [*tags, 0]
-        cut = int(self.random.integers(0, len(text) - WINDOW))
+                more = self.pick(" ", " ", " ", " ", ". ", ", ", "\n")
+                text, tags = text + more, [*tags, *[0] * len(more)]
+        edge = self.random.random()
+        if edge < 0.2:  # padding before
+            n = self.random.randrange(1, WINDOW - 8)
+            return "\0" * n + text[: WINDOW - n], np.array([0] * n + tags[: WINDOW - n])
+        if edge < 0.4:  # and after
+            n = self.random.randrange(1, WINDOW - 8)
+            return text[n - WINDOW :] + "\0" * n, np.array(tags[n - WINDOW :] + [0] * n)
+        cut = self.random.randrange(len(text) - WINDOW)
         return text[cut : cut + WINDOW], np.array(tags[cut : cut + WINDOW])
 
 
@@ -166,6 +178,7 @@ def _symbols() -> np.ndarray:
     for i in range(26):
         out[ord("a") + i] = out[ord("A") + i] = 3 + i
     out[48:58] = np.arange(29, 39)
+    out[0] = 0
     for i, c in enumerate(_MARKS):
         out[ord(c)] = 39 + i
     return out
@@ -180,31 +193,31 @@ def codes(text: str) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.tanh(x * x.dtype.type(0.5)) * x.dtype.type(0.5) + x.dtype.type(0.5)
 
 
 class Network:
-    """Parameters by name; forward, loss with gradients, Adam."""
+    """Parameters by name; forward, loss with gradients, Adam. The two directions' weights are stacked, and run together."""
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
-        m = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.p = {"embed": m(SYMBOLS, EMBEDDING) * 3, "out": m(2 * HIDDEN, TAGS), "out_b": np.zeros(TAGS, np.float32), "step": np.zeros((TAGS, TAGS), np.float32), "first": np.zeros(TAGS, np.float32)}
-        for d in "fb":
-            bias = np.zeros(4 * HIDDEN, np.float32)
-            bias[HIDDEN : 2 * HIDDEN] = 1  # forget gates begin open
-            self.p |= {f"x{d}": m(EMBEDDING, 4 * HIDDEN), f"h{d}": m(HIDDEN, 4 * HIDDEN), f"b{d}": bias}
-
-    def _direction(self, x: np.ndarray, d: str, tape: list | None) -> np.ndarray:
-        """States (time, text, HIDDEN) of one direction over x (time, text, EMBEDDING), already in its order."""
-        n, p = x.shape[1], self.p
-        h = c = np.zeros((n, HIDDEN), np.float32)
-        out = np.empty((len(x), n, HIDDEN), np.float32)
-        into = x @ p[f"x{d}"] + p[f"b{d}"]
-        for t in range(len(x)):
-            gates = into[t] + h @ p[f"h{d}"]
-            act = _sigmoid(gates[:, : 3 * HIDDEN])
-            i, f, o, g = act[:, :HIDDEN], act[:, HIDDEN : 2 * HIDDEN], act[:, 2 * HIDDEN :], np.tanh(gates[:, 3 * HIDDEN :])
+        m = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[-2])).astype(np.float32)
+        bias = np.zeros((2, 1, 4 * HIDDEN), np.float32)
+        bias[:, :, HIDDEN : 2 * HIDDEN] = 1  # forget gates begin open
+        self.p = {"embed": m(SYMBOLS, EMBEDDING) * 3, "x": m(2, EMBEDDING, 4 * HIDDEN), "h": m(2, HIDDEN, 4 * HIDDEN), "b": bias, "out": m(2 * HIDDEN, TAGS), "out_b": np.zeros(TAGS, np.float32), "step": np.zeros((TAGS, TAGS), np.float32), "first": np.zeros(TAGS, np.float32)}
+
+    def _states(self, x: np.ndarray, tape: list | None) -> np.ndarray:
+        """States (time, direction, text, HIDDEN) over x (time, text, EMBEDDING); each direction in its own order of time."""
+        time, n, p = len(x), x.shape[1], self.p
+        both = np.stack([x, x[::-1]]).reshape(2, time * n, EMBEDDING)
+        into = (both @ p["x"] + p["b"]).reshape(2, time, n, 4 * HIDDEN)
+        h = c = np.zeros((2, n, HIDDEN), x.dtype)
+        out = np.empty((time, 2, n, HIDDEN), x.dtype)
+        for t in range(time):
+            gates = h @ p["h"]
+            gates += into[:, t]
+            act = _sigmoid(gates[:, :, : 3 * HIDDEN])
+            i, f, o, g = act[:, :, :HIDDEN], act[:, :, HIDDEN : 2 * HIDDEN], act[:, :, 2 * HIDDEN :], np.tanh(gates[:, :, 3 * HIDDEN :])
             before_h, before_c = h, c
             c = f * c + i * g
             s = np.tanh(c)
@@ -216,22 +229,17 @@ class Network:
     def emissions(self, symbols: np.ndarray, tape: dict | None = None) -> np.ndarray:
         """(text, time) symbols to (time, text, TAGS) scores."""
         x = self.p["embed"][symbols.T]
-        states = []
-        for d in "fb":
-            steps: list | None = [] if tape is not None else None
-            out = self._direction(x if d == "f" else x[::-1], d, steps)
-            states.append(out if d == "f" else out[::-1])
-            if tape is not None:
-                tape[d] = steps
-        both = np.concatenate(states, 2)
+        steps: list | None = [] if tape is not None else None
+        out = self._states(x, steps)
+        both = np.concatenate([out[:, 0], out[::-1, 1]], 2)
         if tape is not None:
-            tape |= {"x": x, "both": both}
+            tape |= {"x": x, "both": both, "steps": steps}
         return both @ self.p["out"] + self.p["out_b"]
 
     def gradients(self, symbols: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the CRF, and its gradients."""
         p, tape = self.p, {}
-        e = self.emissions(symbols, tape).astype(np.float64)
+        e = self.emissions(symbols, tape)
         time, n = e.shape[:2]
         y = tags.T
         each = np.arange(n)
@@ -256,27 +264,29 @@ class Network:
             np.subtract.at(g["step"], (y[t - 1], y[t]), 1)
             score = score + p["step"][y[t - 1], y[t]]
         de[np.arange(time)[:, None], each, y] -= 1
-        de = de.astype(np.float32)
+        de = de.astype(e.dtype)
         g["out"], g["out_b"] = np.tensordot(tape["both"], de, ([0, 1], [0, 1])), de.sum((0, 1))
         dboth = de @ p["out"].T
-        dx = np.zeros_like(tape["x"])
-        for k, d in enumerate("fb"):
-            x, dh_out = tape["x"], dboth[:, :, k * HIDDEN : (k + 1) * HIDDEN]
-            if d == "b":
-                x, dh_out = x[::-1], dh_out[::-1]
-            dgates = np.empty((time, n, 4 * HIDDEN), np.float32)
-            dh = dc = np.zeros((n, HIDDEN), np.float32)
-            dwh = np.zeros_like(p[f"h{d}"])
-            for t in range(time - 1, -1, -1):
-                before_h, before_c, i, f, o, gg, s = tape[d][t]
-                dh = dh + dh_out[t]
-                dc = dc + dh * o * (1 - s * s)
-                dgates[t] = np.concatenate([dc * gg * i * (1 - i), dc * before_c * f * (1 - f), dh * s * o * (1 - o), dc * i * (1 - gg * gg)], 1)
-                dwh += before_h.T @ dgates[t]
-                dh, dc = dgates[t] @ p[f"h{d}"].T, dc * f
-            g[f"h{d}"], g[f"b{d}"], g[f"x{d}"] = dwh, dgates.sum((0, 1)), np.tensordot(x, dgates, ([0, 1], [0, 1]))
-            own = dgates @ p[f"x{d}"].T
-            dx += own if d == "f" else own[::-1]
+        dh_out = np.stack([dboth[:, :, :HIDDEN], dboth[::-1, :, HIDDEN:]], 1)
+        dgates = np.empty((time, 2, n, 4 * HIDDEN), e.dtype)
+        dh = dc = np.zeros((2, n, HIDDEN), e.dtype)
+        back = p["h"].transpose(0, 2, 1).copy()
+        for t in range(time - 1, -1, -1):
+            before_h, before_c, i, f, o, gg, s = tape["steps"][t]
+            dh = dh + dh_out[t]
+            dc = dc + dh * o * (1 - s * s)
+            d = dgates[t]
+            d[:, :, :HIDDEN] = dc * gg * i * (1 - i)
+            d[:, :, HIDDEN : 2 * HIDDEN] = dc * before_c * f * (1 - f)
+            d[:, :, 2 * HIDDEN : 3 * HIDDEN] = dh * s * o * (1 - o)
+            d[:, :, 3 * HIDDEN :] = dc * i * (1 - gg * gg)
+            dh, dc = d @ back, dc * f
+        flat = dgates.transpose(1, 0, 2, 3).reshape(2, time * n, 4 * HIDDEN)
+        before = np.stack([step[0] for step in tape["steps"]], 1).reshape(2, time * n, HIDDEN)
+        x = np.stack([tape["x"], tape["x"][::-1]]).reshape(2, time * n, EMBEDDING)
+        g["h"], g["x"], g["b"] = before.transpose(0, 2, 1) @ flat, x.transpose(0, 2, 1) @ flat, flat.sum(1, keepdims=True)
+        dx = (flat @ p["x"].transpose(0, 2, 1)).reshape(2, time, n, EMBEDDING)
+        dx = dx[0] + dx[1, ::-1]
         g["embed"] = np.zeros_like(p["embed"])
         np.add.at(g["embed"], symbols.T, dx)
         return float((z - score).mean()), {name: v / n for name, v in g.items()}
@@ -285,9 +295,10 @@ class Network:
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         pool = [texts.sample() for _ in range(POOL)]
+        symbols, tags = np.stack([codes(t) for t, _ in pool]), np.stack([y for _, y in pool])
         for step in range(1, steps + 1):
-            batch = [pool[i] for i in texts.random.integers(0, len(pool), BATCH)]
-            _, g = self.gradients(np.stack([codes(t) for t, _ in batch]), np.stack([y for _, y in batch]))
+            batch = texts.random.choices(range(len(pool)), k=BATCH)
+            _, g = self.gradients(symbols[batch], tags[batch])
             rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, v in g.items():
                 v = np.clip(v, -1, 1)
@@ -311,18 +322,35 @@ class Network:
         return tags
 
 
-@lru_cache(2)
-def trained(seed: int = 7, steps: int = STEPS) -> Network:
-    network = Network(seed)
-    network.fit(Texts(seed), steps)
-    return network
+def _fit(seed: int, steps: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                network = Network(seed)
+                network.fit(Texts(seed), steps)
+                yield pa.RecordBatch.from_arrays([pa.array(list(network.p), pa.string()), pa.array([list(v.shape) for v in network.p.values()], pa.list_(pa.int64())), pa.array([v.astype("<f4").tobytes() for v in network.p.values()], pa.binary())], ["name", "shape", "raw"])
+
+    return run
+
+
+def trained(spark: SparkSession, seed: int = 7, steps: int = STEPS) -> Network:
+    """The network, trained once a session, in a task: a lost executor costs a retry, and the driver no time of its own."""
+    sc = spark.sparkContext
+    known = sc.__dict__.setdefault("_tesserae_networks", {})
+    if (seed, steps) not in known:
+        ship(spark)
+        network = Network(seed)
+        for r in spark.range(0, 1, 1, 1).mapInArrow(_fit(seed, steps), "name string, shape array<long>, raw binary").collect():
+            network.p[r["name"]] = np.frombuffer(bytes(r["raw"]), "<f4").reshape(r["shape"])
+        known[seed, steps] = network
+    return known[seed, steps]
 
 
 # --- windows --------------------------------------------------------------------------------
 
 _CALL = re.compile(r"[0-9@]|(?<=[\[(\s])(?:at|dot)(?=[\])\s])", re.IGNORECASE)
-#: Characters of any span but blanks; the last four are what [a-z] matches too when case is ignored.
-_HELD = _LOCAL | frozenset("@()[]/\u017f\u212a\u0130\u0131")
+#: Characters of any span but blanks, letters and digits.
+_HELD = frozenset("@()[]/.%+-_")
 _HALF = WINDOW // 2
 _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
@@ -330,7 +358,7 @@ _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(
 def _over(text: str, at: int, step: int) -> int:
     """The place reached from `at`, forwards (1) or backwards (-1), over characters that a span may hold."""
     off = 0 if step > 0 else 1
-    while 0 <= at - off < len(text) and text[at - off] in _HELD:
+    while 0 <= at - off < len(text) and (text[at - off] in _HELD or text[at - off].isalnum()):
         at += step
     return at
 
@@ -366,23 +394,28 @@ def runs(text: str) -> list[tuple[int, int]]:
 
 
 def network_spans(network: Network, texts: list[str], most: int = 4096) -> list[list[tuple[str, int, int]]]:
-    """Spans of the network in each text, before any check."""
-    found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    """Spans of the network in each text, before any check.
+
+    Long runs are decoded in pieces with margins on both sides, of which a piece has the say about its own characters; so memory
+    beside the text is a byte for each character of a run, and no span shorter than a margin is cut.
+    """
     where = [(n, a, b) for n, t in enumerate(texts) for a, b in runs(t)]
-    where.sort(key=lambda r: r[2] - r[1])
+    tags_of = [np.zeros(b - a, np.int8) for _, a, b in where]
+    pieces = [(r, max(a, s - MARGIN), min(b, s + PIECE + MARGIN), s, min(b, s + PIECE)) for r, (_, a, b) in enumerate(where) for s in range(a, b, PIECE)]
+    pieces.sort(key=lambda x: x[2] - x[1])
     at = 0
-    while at < len(where):
-        # runs of like length, a bounded number of windows together
+    while at < len(pieces):
+        # pieces of like length, a bounded number of windows together
         group, windows = [], 0
-        while at < len(where) and (not group or windows < most and where[at][2] - where[at][1] <= 1.3 * (group[0][2] - group[0][1]) + WINDOW):
-            group.append(where[at])
-            windows += (where[at][2] - where[at][1]) // _HALF + 2
+        while at < len(pieces) and (not group or windows < most and pieces[at][2] - pieces[at][1] <= 1.3 * (group[0][2] - group[0][1]) + WINDOW):
+            group.append(pieces[at])
+            windows += (pieces[at][2] - pieces[at][1]) // _HALF + 2
             at += 1
-        longest = max(b - a for _, a, b in group)
-        steps = max(1, -(-longest // _HALF))  # windows begin half a window before the run and every half
+        longest = max(b - a for _, a, b, _, _ in group)
+        steps = max(1, -(-longest // _HALF))  # windows begin half a window before the piece and every half
         symbols = np.zeros((len(group), (steps + 1) * _HALF), np.int64)
-        for i, (n, a, b) in enumerate(group):
-            symbols[i, _HALF // 2 : _HALF // 2 + b - a][: b - a] = codes(texts[n][a:b])[: symbols.shape[1] - _HALF // 2]
+        for i, (r, a, b, _, _) in enumerate(group):
+            symbols[i, _HALF // 2 : _HALF // 2 + b - a][: b - a] = codes(texts[where[r][0]][a:b])[: symbols.shape[1] - _HALF // 2]
         total, weight = np.zeros((*symbols.shape, TAGS), np.float32), np.zeros(symbols.shape[1], np.float32)
         per = max(1, most // len(group))
         for s in range(0, steps, per):
@@ -397,15 +430,20 @@ def network_spans(network: Network, texts: list[str], most: int = 4096) -> list[
         total[pad] = -50
         total[pad, 0] = 50  # outside
         tags = network.decode(total)
-        for i, (n, a, b) in enumerate(group):
-            own = tags[i, _HALF // 2 : _HALF // 2 + b - a]
-            kind = np.where(own == 0, -1, (own - 1) // 2)
-            begin = (kind >= 0) & ((own % 2 == 1) | (np.concatenate([[-1], kind[:-1]]) != kind))
-            for s in np.flatnonzero(begin).tolist():
-                end = s + 1
-                while end < len(own) and kind[end] == kind[s] and not begin[end]:
-                    end += 1
-                found[n].append((KINDS[kind[s]], a + s, a + end))
+        for i, (r, a, _, x, y) in enumerate(group):
+            begin = where[r][1]
+            tags_of[r][x - begin : y - begin] = tags[i, _HALF // 2 + x - a : _HALF // 2 + y - a]
+    found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    for (n, a, _), own in zip(where, tags_of, strict=True):
+        if not own.any():
+            continue
+        kind = np.where(own == 0, -1, (own - 1) // 2)
+        change = np.ones(len(own), bool)
+        change[1:] = (kind[1:] != kind[:-1]) | (own[1:] % 2 == 1) & (kind[1:] >= 0)
+        begins = np.flatnonzero(change)
+        for s, e in zip(begins.tolist(), [*begins[1:].tolist(), len(own)], strict=True):
+            if kind[s] >= 0:
+                found[n].append((KINDS[kind[s]], a + s, a + e))
     return found
 
 
@@ -425,7 +463,8 @@ def spans(network: Network, texts: list[str]) -> list[list[tuple[str, int, int,
             else:  # the network took in words beside the addresses
                 parts = [m.span() for m in _WRITTEN.finditer(text, a, b)]
             for x, y in parts:
-                if x < y and not any(x < q and p < y for _, p, q in base) and _plain_check(kind, text[x:y]):
+                # base spans stay; one that a wider span of its kind takes in whole, as letters beyond ASCII are no pattern's, doesn't rule that out
+                if x < y and not any(x < q and p < y and not (k == kind and x <= p and q <= y and (x, y) != (p, q)) for k, p, q in base) and _plain_check(kind, text[x:y]):
                     kept.append((kind, x, y, False))
         out.append(sorted(kept, key=lambda s: (KINDS.index(s[0]), s[1])))
     return out
@@ -448,7 +487,7 @@ def find(documents: DataFrame, seed: int = 7) -> DataFrame:
     """Per document: doc_id and spans, array of (kind, start, end, base), by kind and start."""
     spark = documents.sparkSession
     ship(spark)
-    network = spark.sparkContext.broadcast(trained(seed))
+    network = spark.sparkContext.broadcast(trained(spark, seed))
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find(network), "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
