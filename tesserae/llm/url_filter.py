@@ -23,12 +23,13 @@ BUCKETS, GRAMS, STEPS, RATE, PENALTY, LABELLED = 2048, (3, 4, 5), 400, 0.5, 1e-3
 
 # The labelled table. Hosts and paths of the kinds that a crawl blocks and keeps.
 BLOCKED = [
-    "http://cheap-pills.example.com/en/12", "https://www.cheap-pills.example.net/buy/now", "http://cheap-watches.example.org/sale", "https://buy-pills-online.example.net/order", "http://discount-pharmacy.example.com/viagra",
-    "https://spam-farm.example.org/en/4", "http://www.spam-farm.example.net/links/1", "https://link-farm.example.com/page/9", "http://seo-spam.example.net/backlinks", "https://spam-links.example.com/fr/2",
-    "https://free-bets.example.net/es/7", "http://www.free-bets.example.com/bonus", "https://online-casino.example.org/slots", "http://casino-bonus.example.net/free-spins", "https://best-bets.example.org/odds", "http://poker-bets.example.com/play",
+    "http://generic-meds.example.com/en/12", "https://www.meds-without-rx.example.net/buy/now", "http://cheap-watches.example.org/sale", "https://buy-pills-online.example.net/order", "http://discount-pharmacy.example.com/viagra",
+    "https://spammy-seo.example.org/en/4", "http://www.content-farm.example.net/links/1", "https://link-farm.example.com/page/9", "http://seo-spam.example.net/backlinks", "https://spam-links.example.com/fr/2",
+    "https://sports-bets.example.net/es/7", "http://www.betting-bonus.example.com/bonus", "https://online-casino.example.org/slots", "http://casino-bonus.example.net/free-spins", "https://best-bets.example.org/odds", "http://poker-bets.example.com/play",
     "http://free-money.example.net/win", "https://win-prizes.example.com/claim", "http://payday-loans.example.org/apply", "https://easy-loans.example.net/cash", "http://adult-cams.example.com/live", "https://hot-singles.example.net/chat",
     "http://free-downloads.example.org/crack.exe", "https://warez-crack.example.com/keygen", "http://miracle-diet.example.net/pills", "https://fake-watches.example.com/replica", "http://click-bait.example.org/shocking", "https://free-gift.example.net/claim-now",
-    "http://ads.example.com/banner/3", "https://ads-server.example.org/en/5", "http://track.example.net/pixel", "https://ad-tracker.example.com/click/77", "https://ads-track.example.net/de/8", "https://www.casino-win.example.com/en/21", "http://casino-games.example.net/fr/6", "https://big-win.example.org/es/13",
+    "http://ads.example.com/banner/3", "https://ads-server.example.org/en/5", "http://track.example.net/pixel", "https://ad-tracker.example.com/click/77", "https://ad-pixels.example.net/de/8", "https://www.lucky-casino.example.com/en/21", "http://casino-games.example.net/fr/6", "https://big-win.example.org/es/13",
+    "http://www.spam-site.example.org/en/9", "https://www.spam-host.example.net/en/2", "http://farm-of-links.example.org/en/7", "https://www.link-spam.example.org/en/31",
 ]
 ALLOWED = [
     "http://example.org/en/1", "https://www.example.net/de/22", "https://example.net/en/300.html", "http://blog.example.org/en/15/", "https://m.example.net/en/8?page=2", "https://news.example.org/world/2024", "http://www.example.org/about", "https://docs.example.net/guide/install",
@@ -36,6 +37,7 @@ ALLOWED = [
     "http://www.recipes.example.net/de/45/", "https://science.example.org/en/81", "https://cooking.example.net/en/6?utm_source=feed", "http://sports.example.org/fr/19", "https://music.example.net/de/2#top", "https://blog.health.example.org/en/64", "http://forum.example.net/thread/18",
     "https://city.example.org/council", "https://www.painting.example.net/en/31", "http://river.example.org/en/90?page=2&ref=x", "https://wiki.example.net/en/article", "https://m.stones.example.org/en/27.html", "http://blog.weaving.example.net/en/70/",
     "http://thread.example.org/fr/414", "https://m.thorn.example.net/en/742/", "https://leather.example.com/es/52", "http://brother.example.net/de/481", "https://harbor.example.com/en/19", "http://nation.example.com/fr/33", "https://www.station.example.org/es/70", "https://tradition.example.net/en/464",
+    "http://www.stream.example.org/en/3", "https://www.meadow.example.net/en/9", "http://forest.example.org/en/7", "https://www.lantern.example.org/en/52",
 ]
 
 #: Rules of the registered query: (action, host, path).
