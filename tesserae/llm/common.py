@@ -26,9 +26,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- code on the executors ------------------------------------------------------------------
 
 
+#: Bytes of a batch that goes to a Python worker, about; Spark's own bound is eight times that.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, for clusters on which it isn't installed."""
+    """Send this package to the executors once a session, for clusters on which it isn't installed; bound the batches for Python by bytes."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_tesserae_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
