@@ -40,9 +40,9 @@ from pyspark.sql import types as T
 from .common import Generations, joined, ship, slices, strings, text_bytes, worker_cache
 
 #: Bytes of each generation of a worker's caches of chunks and of words (two generations each); pairs of tokens known to stay apart or not.
-CACHE, PAIRS = 40 << 20, 250_000
+CHUNKS, WORDS, PAIRS = 12 << 20, 40 << 20, 250_000
 #: Bytes of text, or of ids, that are worked on together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -198,7 +198,7 @@ class Coder:
         self.mark = commonprefix([*self.special])  # stands wherever a special token does
         self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
         self.any = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-        self.chunks, self.words = Generations(CACHE), Generations(CACHE)
+        self.chunks, self.words = Generations(CHUNKS), Generations(WORDS)
 
     def split(self, chunk: str) -> list[str]:
         """The words of a chunk; a special token's string comes as it stands, in which no word has its characters."""
