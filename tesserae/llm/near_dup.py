@@ -5,16 +5,21 @@ meet in a task. Class representatives go down independent trees: at a node, a ha
 chooses one of the SLOTS minhash values (sometimes two, 1/threshold of them on average) and a document moves to the
 child named by its own value there. A similar pair stays together at a slot with a probability of its
 similarity, so the expected number of nodes that it shares doesn't fall with depth, while others part. Small nodes
-are compared exhaustively, at the first slot where they are small; larger ones branch on, by JUMP slots of which all nodes are
-counted at once, and begin each time with several forks. There are as many forks as bring a linked pair's chance of never meeting
-in TREES trees to at most MISS, even if all its nodes stay large down to the last slot. A large node whose members are close to one
-another on average, by a sample, would never part: all of it is put in one neighbourhood, as is what is still large at the last depth.
+are compared exhaustively; larger ones branch on in several forks, as many as bring a linked pair's chance of never meeting
+in TREES trees to at most MISS, even if all its nodes stay large down to the last level.
+
+Members of a large node that are close to one another would never part. Hubs stand for them: members of a sample of the node to which
+many of the sample are near. Every member is compared with its node's hubs by estimate and joins the neighbourhoods of those that it's
+near. As distances of sets obey the triangle inequality, who is as close to a hub as a linked pair can be linked only with what is at least
+2 * threshold - 1 similar to the hub, which lies above the bound of neighbourhoods (by more than a standard deviation, at a hub of each tree); it
+goes no further. Who is near a hub otherwise goes on without forks, and only if somebody in the node stands neither near the hub nor too far from it to be
+linked. Nodes whose members are all in one neighbourhood end. So a group of near copies costs a row for each member and tree, not one for each path.
 
 Within nodes, minhash estimates (well below the threshold, so that no link is lost to their spread) make
 neighbourhoods by connected components. Inside a neighbourhood links are then confirmed on the full sets:
 small ones each in one task, by exhaustive comparison that leaves out pairs that already hang together; large ones by
-all tasks: members are compared with a hub, chosen as most similar to a sample of the
-members, for a few rounds, and those that no hub holds with all members, in blocks. Which links within a component
+all tasks: for a few rounds all members are compared with a hub, and what isn't linked with the largest component
+then is compared with all members, in cells of a bounded number of bytes, where distances to the hubs rule most pairs out. Which links within a component
 were confirmed doesn't change the component, so none is lost by leaving pairs out.
 
 Defined results: null, empty and wordless texts have no shingles, are linked with nothing and kept; a text of fewer words than a
@@ -27,7 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from math import comb
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +40,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Windows, byte_classes, hash_words, maybe_broadcast, mix, shared_table, ship, signed, slices, text_bytes
+from .common import Windows, byte_classes, hash_words, maybe_broadcast, mix, scratch, shared_table, ship, signed, slices, text_bytes
 from .components import components
 
 SHINGLE, SLOTS, TREES = 5, 64, 16
-#: Levels at which nodes are counted, and slots that a large node branches by between two of them; chance of missing a linked pair, at most.
-DEPTH, JUMP, MISS = 3, 5, 1e-6
+#: Levels of a tree; chance of missing a linked pair, at most.
+DEPTH, MISS = 6, 1e-6
+#: Rows of a task in stages whose rows are counted beforehand; the fewest tasks of these.
+TASK_ROWS, TASKS = 50_000, 8
 #: Members of a node that is compared exhaustively; how far below the threshold an estimate may lie, in standard deviations.
-NODE, DEVIATIONS = 64, 5
-#: Members and shingles of a neighbourhood that one task confirms; hub rounds and sample in larger ones; bytes of a block of sets sent to all tasks.
-MEMBERS, SHINGLES, ROUNDS, SAMPLE, BLOCK_BYTES = 256, 400_000, 2, 48, 24 << 20
+NODE, DEVIATIONS = 512, 5
+#: Members of a sample; hubs of a node; share of its sample that is near a hub, at least.
+SAMPLE, HUBS, SHARE = 48, 4, 1 / 12
+#: Members and shingles of a neighbourhood that one task confirms; hub rounds of larger ones; bytes of sets of each side of a cell.
+MEMBERS, SHINGLES, ROUNDS, CELL = 256, 400_000, 3, 4 << 20
 _CLASSES = byte_classes("space", lower=True)
-_NODES = "node long, parent long, doc_id long, last boolean"
+_NODES = "node long, doc_id long, near long"
 _A = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 _B = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
@@ -100,32 +109,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SLOTS)
 
 
-def missed(threshold: float, trees: int, forks: int, slots: int) -> float:
-    """Chance that a pair just at the threshold never meets, if all its nodes are large for so many slots.
+def missed(threshold: float, trees: int, forks: int, depth: int = DEPTH) -> float:
+    """Chance that a pair just at the threshold never meets, if all its nodes are large for so many levels.
 
-    Slots count as drawn independently; how many minhash values agree is binomial.
+    The slots that trees choose count as independent draws from the SLOTS values that all share; how many of these agree is binomial.
     """
     twice, total = min(1.0, 1 / threshold - 1), 0.0
     for agree in range(SLOTS + 1):
         s, apart = agree / SLOTS, 0.0
-        for k in reversed(range(slots)):
+        for level in reversed(range(depth)):
             one = 1 - s + s * apart
-            apart = ((1 - twice) * one + twice * one * one) ** (forks if k % JUMP == 1 % JUMP and k else 1)
+            apart = ((1 - twice) * one + twice * one * one) ** (forks if level else 1)
         total += comb(SLOTS, agree) * threshold**agree * (1 - threshold) ** (SLOTS - agree) * apart**trees
     return total
 
 
 def forks_for(threshold: float, trees: int, depth: int = DEPTH) -> int:
     """The fewest forks of a large node with which a pair at the threshold is missed with a chance of at most MISS."""
-    slots = 1 + (depth - 1) * JUMP
-    return next((n for n in range(1, 64) if missed(threshold, trees, n, slots) <= MISS), 64)
+    return next((n for n in range(1, 64) if missed(threshold, trees, n, depth) <= MISS), 64)
 
 
 def _descend(threshold: float, trees: int, depth: int = DEPTH) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Nodes below those of (node, doc_id, sig) rows, of each of JUMP slots; without a node, children of the trees' roots.
-
-    A parent is null where it's known to be large; last marks the nodes that branch on if they are large.
-    """
+    """Children of (node, doc_id, near, sig) rows; without a node, of the trees' roots. near: the neighbourhood that the document is in already."""
     second = np.uint64(min(1.0, 1 / threshold - 1) * (2**64 - 1025))
     forks = forks_for(threshold, trees, depth)
 
@@ -138,9 +143,8 @@ def _descend(threshold: float, trees: int, depth: int = DEPTH) -> Callable[[Iter
         child = mix(node[rows] + np.uint64(0x9B05688C2B3E6C1F) * (chosen.astype(np.uint64) + np.uint64(1))) ^ mix(sig[rows, chosen].astype(np.uint64) + np.uint64(1))
         return mix(child), rows
 
-    def batch_of(node: np.ndarray, parent: np.ndarray | None, doc: np.ndarray, last: bool) -> pa.RecordBatch:
-        above = pa.nulls(len(node), pa.int64()) if parent is None else signed(parent)
-        return pa.RecordBatch.from_arrays([signed(node), above, pa.array(doc, pa.int64()), pa.array(np.full(len(node), last))], ["node", "parent", "doc_id", "last"])
+    def batch_of(node: np.ndarray, doc: np.ndarray, near: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([signed(node), pa.array(doc, pa.int64()), near], ["node", "doc_id", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,15 +154,14 @@ def _descend(threshold: float, trees: int, depth: int = DEPTH) -> Callable[[Iter
             if "node" not in batch.schema.names:
                 for t in range(trees):
                     node, row = step(np.full(len(doc), mix(np.full(1, t + 1, np.uint64))[0]), sig)
-                    yield batch_of(node, None, doc[row], True)
+                    yield batch_of(node, doc[row], pa.nulls(len(row), pa.int64()))
                 continue
-            node, row = batch.column("node").to_numpy().view(np.uint64), np.tile(np.arange(len(doc)), forks)
-            node = np.concatenate([mix(node + np.uint64(0xD1B54A32D192ED03 * j % 2**64)) for j in range(1, forks + 1)])
-            for k in range(JUMP):
-                above = node
-                node, of = step(above, sig[row])
-                row = row[of]
-                yield batch_of(node, above[of] if k else None, doc[row], k == JUMP - 1)
+            above = batch.column("node").to_numpy().view(np.uint64)
+            free = np.flatnonzero(batch.column("near").is_null().to_numpy(zero_copy_only=False))
+            for j in range(1, forks + 1):
+                some = free if j > 1 else np.arange(len(doc))  # who is in a neighbourhood has most of its links there
+                node, row = step(mix(above[some] + np.uint64(0xD1B54A32D192ED03 * j % 2**64)), sig[some])
+                yield batch_of(node, doc[some[row]], batch.column("near").take(pa.array(some[row])))
 
     return run
 
@@ -211,14 +214,18 @@ def _as_set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u8")
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, for sorted sets."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
-    if 100 * len(x) < percent * len(y):
-        return False
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    common = int(np.count_nonzero(y[at] == x))
+    return int(np.count_nonzero(y[at] == x))
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = _common(x, y)
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
@@ -244,17 +251,63 @@ def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _dense(lowest: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The nodes whose sampled members have the lowest similarity or more on average."""
+def _node_hubs(lowest: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(node, hubs): of each sample, the members that most others are near, as long as these are many; nodes without any are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dense = []
+            nodes, hubs = [], []
             for node, row in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
-                sig = np.frombuffer(b"".join(m["sig"] for m in row.as_py()), np.uint8).reshape(-1, SLOTS)
-                if (sig[:, None] == sig[None]).mean() >= lowest:
-                    dense.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(dense, pa.int64())], ["node"])
+                members = sorted(row.as_py(), key=lambda m: m["doc_id"])
+                sig = np.frombuffer(b"".join([m["sig"] for m in members]), "<u4").reshape(-1, SLOTS).astype(np.uint8)
+                close, left, chosen = (sig[:, None] == sig[None]).mean(2) >= lowest, np.ones(len(members), bool), []
+                while len(chosen) < HUBS:
+                    many = (close & left).sum(1)
+                    best = int(many.argmax())
+                    if many[best] < max(2, SHARE * len(members)):
+                        break
+                    left &= ~close[best]
+                    m = members[best]
+                    chosen.append({"doc_id": m["doc_id"], "near": m["doc_id"] if m["near"] is None else m["near"], "sig": sig[best].tobytes()})
+                if chosen:
+                    nodes.append(node)
+                    hubs.append(chosen)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hubs, pa.list_(pa.struct([("doc_id", pa.int64()), ("near", pa.int64()), ("sig", pa.binary())])))], ["node", "hubs"])
+
+    return run
+
+
+_PLACED = "node long, doc_id long, sig binary, near long, linked array<long>, between boolean, inside boolean"
+
+
+def _place(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Members of nodes with the hubs that they're near, whether they're so close to one that all their links are near it (inside),
+    and whether they stand between near and far of any."""
+    lowest, close = _lowest(threshold), threshold
+    least = 2 * threshold - 1
+    far = min(lowest, lowest - (1 - threshold) - 3 * sqrt(least * (1 - least) / SLOTS)) if least > 0 else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = _matrix(batch.column("sig")).astype(np.uint8)
+            near = batch.column("near").to_pylist()
+            hubs = batch.column("hubs")
+            flat, n = hubs.flatten(), np.diff(hubs.offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), n)
+            other = np.frombuffer(b"".join(flat.field("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
+            same = (sig[row] == other).mean(1)
+            linked: list[list[int]] = [[] for _ in near]
+            ids, names = flat.field("doc_id").to_pylist(), flat.field("near").to_pylist()
+            for i in np.flatnonzero(same >= lowest).tolist():
+                linked[row[i]].append(ids[i])
+                if near[row[i]] is None:
+                    near[row[i]] = names[i]
+            between, inside = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
+            between[row[(same >= far) & (same < lowest)]] = True
+            inside[row[same >= close]] = True
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), batch.column("sig"), pa.array(near, pa.int64()), pa.array(linked, pa.list_(pa.int64())), pa.array(between), pa.array(inside)], ["node", "doc_id", "sig", "near", "linked", "between", "inside"])
 
     return run
 
@@ -271,119 +324,163 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _to_hub(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each member's distance to its hub and whether they're linked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hubs: dict[int, np.ndarray] = {}
-            label = []
-            for hub, raw, mine in zip(batch.column("hub").to_pylist(), batch.column("hub_shingles"), batch.column("shingles"), strict=True):
-                if hub not in hubs:
-                    hubs[hub] = _as_set(raw.as_py())
-                label.append(hub if linked(hubs[hub], _as_set(mine.as_py()), percent) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(label, pa.int64())], ["doc_id", "label"])
+            at, hub = None, None
+            far, close = [], []
+            for name, raw, mine in zip(batch.column("hub").to_pylist(), batch.column("hub_shingles"), batch.column("shingles"), strict=True):
+                if name != at:
+                    at, hub = name, _as_set(raw.as_py())
+                own = _as_set(mine.as_py())
+                common = _common(hub, own)
+                union = len(hub) + len(own) - common
+                far.append(1 - common / union)
+                close.append(100 * common >= percent * union)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(far, pa.float64()), pa.array(close, pa.bool_())], ["doc_id", "far", "close"])
 
     return run
 
 
-def _to_block(block, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links of a block's documents to the labels of others, each once a batch."""
+def _cells(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between labels: of each cell, the asked documents with all others of another label. Distances to common hubs rule pairs out."""
+    most = 1 - percent / 100 + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, list[tuple[int, np.ndarray]]] = block.value
         for batch in batches:
             found = set()
-            for area, doc, label, raw in zip(*(batch.column(c).to_pylist() for c in ("area", "doc_id", "label", "shingles")), strict=True):
-                own = _as_set(raw)
-                for other, theirs in asked.get(area, ()):
-                    if other != doc and (other, label) not in found and linked(theirs, own, percent):
-                        found.add((other, label))
+            for row in batch.column("members"):
+                members = row.as_py()
+                asked, others = [m for m in members if m["asked"]], [m for m in members if not m["asked"]]
+                if not asked or not others:
+                    continue
+                sets = [_as_set(m["shingles"]) for m in others]
+                labels = np.array([m["label"] for m in others], np.int64)
+                far = np.array([m["far"] for m in others], float).reshape(len(others), -1)
+                for m in asked:
+                    own, label = _as_set(m["shingles"]), m["label"]
+                    done = {label}
+                    for j in np.flatnonzero((labels != label) & (np.abs(far - np.array(m["far"], float)) <= most).all(1)).tolist():
+                        if labels[j] not in done and linked(own, sets[j], percent):
+                            done.add(labels[j])
+                            found.add((label, int(labels[j])))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _lowest(threshold: float) -> float:
+    return threshold - DEVIATIONS * sqrt(threshold * (1 - threshold) / SLOTS)
+
+
 def _neighbourhoods(reps: DataFrame, percent: int, trees: int, depth: int) -> DataFrame:
     """(id, root) of sets that may be linked: components of what meets in the trees."""
     spark = reps.sparkSession
     lam = percent / 100
-    lowest = lam - DEVIATIONS * (lam * (1 - lam) / SLOTS) ** 0.5
+    lowest = _lowest(lam)
     narrow = reps.select("doc_id", "sig").mapInArrow(_narrow, "doc_id long, sig binary")
     rows = reps.select("doc_id", "sig").mapInArrow(_descend(lam, trees, depth), _NODES)
-    links, leaves, total = [], [], 0
+    links, leaves, total, size = [], [], 0, 2 * trees * reps.count()
     for level in range(1, depth + 1):
         # written first: a join with a side that is dealt by an aggregate can't split a hot node
-        met = shared_table(spark, rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "met")
-        n = met.agg(F.sum("n")).first()[0] or 0
+        counted = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count("near").alias("k"), F.min("near").alias("lo"), F.max("near").alias("hi"))
+        met = shared_table(spark, counted.where("n > 1 and not (k = n and lo = hi)").select("node", "n").coalesce(_tasks(size)), "met")
+        n, many = (x or 0 for x in met.agg(F.sum("n"), F.sum(F.when(F.col("n") > NODE, F.col("n")))).first())
         nodes = shared_table(spark, rows.join(maybe_broadcast(met, n), "node"), "nodes")
-        # compared at the first slot where they are small: below a large node, though not at the jump's end
-        few = nodes.where(F.col("n") <= NODE)
-        if level > 1:
-            above = met.where(F.col("n") > NODE).select(F.col("node").alias("parent"))
-            few = few.where("parent is null").unionByName(few.join(maybe_broadcast(above, n // NODE), "parent", "left_semi"), allowMissingColumns=True)
-        leaves.append(few.select("node", "doc_id"))
+        leaves.append(nodes.where(F.col("n") <= NODE).select("node", "doc_id"))
         total += n
-        large = nodes.where((F.col("n") > NODE) & F.col("last"))
-        if large.isEmpty():
+        large = nodes.where(F.col("n") > NODE).select("node", "doc_id", "near")
+        if not many:
             break
-        # nodes that wouldn't part: near copies of one text
-        chosen = W.partitionBy("node").orderBy(F.xxhash64("doc_id"), "doc_id")
-        sample = narrow.join(maybe_broadcast(large.select("node", "doc_id", F.row_number().over(chosen).alias("k")).where(F.col("k") <= SAMPLE), n), "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
-        dense = large.select("node").distinct() if level == depth else sample.mapInArrow(_dense(lowest), "node long")
-        dense = shared_table(spark, dense, "dense")
-        held = dense.count()
-        heads = large.join(maybe_broadcast(dense, held), "node").groupBy("node").agg(F.min("doc_id").alias("a"))
-        links.append(large.join(maybe_broadcast(heads, held), "node").select("a", F.col("doc_id").alias("b")).distinct())
-        if level == depth:
+        if level == depth:  # what hasn't parted by now is one neighbourhood
+            heads = large.groupBy("node").agg(F.min("doc_id").alias("a"))
+            links.append(large.join(maybe_broadcast(heads, many // NODE), "node").select("a", F.col("doc_id").alias("b")).distinct())
             break
-        apart = large.select("node", "doc_id").join(maybe_broadcast(dense, held), "node", "left_anti")
-        apart = shared_table(spark, reps.select("doc_id", "sig").join(maybe_broadcast(apart, n), "doc_id").select("node", "doc_id", "sig"), "apart")
-        if apart.isEmpty():
+        large = shared_table(spark, reps.select("doc_id", "sig").join(maybe_broadcast(large, many), "doc_id"), "large-nodes")
+        chosen = W.partitionBy("node").orderBy(F.xxhash64("doc_id"), "doc_id")
+        sample = large.withColumn("k", F.row_number().over(chosen)).where(F.col("k") <= SAMPLE).groupBy("node").agg(F.collect_list(F.struct("doc_id", "near", "sig")).alias("members")).coalesce(_tasks(many))
+        hubs = shared_table(spark, sample.mapInArrow(_node_hubs(lowest), "node long, hubs array<struct<doc_id:long,near:long,sig:binary>>"), "hubs")
+        with_hubs = large.join(maybe_broadcast(hubs, many // NODE * 12), "node", "left").withColumn("hubs", F.coalesce("hubs", F.array().cast(hubs.schema["hubs"].dataType)))
+        placed = shared_table(spark, with_hubs.select("node", "doc_id", "sig", "near", "hubs").mapInArrow(_place(lam), _PLACED), "placed-members")
+        links.append(placed.select(F.explode("linked").alias("a"), F.col("doc_id").alias("b")).where("a != b").distinct())
+        mixed = shared_table(spark, placed.where("between").select("node").distinct().coalesce(_tasks(many)), "mixed")
+        on = placed.where("not inside")
+        rows = on.where("size(linked) = 0").unionByName(on.where("size(linked) > 0").join(maybe_broadcast(mixed, many // NODE), "node", "left_semi"))
+        rows = shared_table(spark, rows.select("node", "doc_id", "near", "sig"), "apart")
+        size = 2 * forks_for(lam, trees, depth) * rows.count()
+        if not size:
             break
-        rows = apart.mapInArrow(_descend(lam, trees, depth), _NODES)
+        rows = rows.mapInArrow(_descend(lam, trees, depth), _NODES)
     small = reduce(DataFrame.unionAll, leaves)
     members = narrow.join(maybe_broadcast(small, total), "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
     near = members.select("members").mapInArrow(_near(lowest), "a long, b long")
     return components(reduce(DataFrame.unionAll, links, near))
 
 
+def _tasks(rows: int) -> int:
+    return max(TASKS, rows // TASK_ROWS)
+
+
+def _outside(known: DataFrame) -> DataFrame:
+    """Members that don't belong to the largest component of their area."""
+    sizes = known.groupBy("area", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = shared_table(known.sparkSession, sizes.groupBy("area").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "largest")
+    return known.join(maybe_broadcast(largest, largest.count()), "area").where("label != main").drop("main")
+
+
 def _large(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, root) of neighbourhoods too large for a task. sets: area, doc_id, shingles, sig; a written table."""
+    """(id, root) of neighbourhoods too large for a task. sets: area, doc_id, shingles, sig; a written table.
+
+    A round compares all members of an area with one hub, of those outside its largest component. What is outside after the last round is
+    compared with all members: asked documents are dealt into blocks, members into splits, and each pair of them is a cell.
+    """
     spark = sets.sparkSession
-    labels = None  # doc_id, label: the hub that holds it
-    left = sets.select("area", "doc_id", "sig")
+    # label: the smallest document of the component so far; far: distances to the hubs
+    known = shared_table(spark, sets.select("area", "doc_id", "sig", F.col("doc_id").alias("label"), F.array().cast("array<double>").alias("far")), "known")
+    outside = known
     for _ in range(ROUNDS):
-        n = left.count()
-        if n <= SAMPLE:  # few: compared with all members at once
-            break
         order = W.partitionBy("area").orderBy(F.xxhash64("doc_id"), "doc_id")
-        sample = left.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).groupBy("area").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
+        sample = outside.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).groupBy("area").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
         hubs = shared_table(spark, sample.mapInArrow(_hubs, "area long, hub long"), "hubs")
         areas = hubs.count()
-        with_sets = sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hub_shingles")).join(maybe_broadcast(hubs, areas), "hub")
-        mine = sets.select("area", "doc_id", "shingles").join(maybe_broadcast(left.select("doc_id"), n), "doc_id", "left_semi")
-        held = mine.join(maybe_broadcast(with_sets, areas, 64), "area").mapInArrow(_to_hub(percent), "doc_id long, label long")
-        held = shared_table(spark, held, "held")
-        now = held.where("label is not null")
-        labels = now if labels is None else labels.unionAll(now)
-        left = shared_table(spark, left.join(maybe_broadcast(now, n), "doc_id", "left_anti"), "left")
-    if labels is None:
-        labels = left.select("doc_id", F.lit(None).cast("long").alias("label")).limit(0)
-    known = sets.select("area", "doc_id", "shingles").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    links = labels.select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
-    rest = shared_table(spark, sets.join(maybe_broadcast(left.select("doc_id"), left.count()), "doc_id", "left_semi").select("area", "doc_id", "shingles"), "rest")
-    size = rest.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
-    if size:
+        if not areas:
+            break
+        with_sets = shared_table(spark, sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hub_shingles")).join(maybe_broadcast(hubs, areas), "hub"), "hub-sets")
+        weight = with_sets.agg(F.sum(F.octet_length("hub_shingles"))).first()[0]
+        mine = sets.select("area", "doc_id", "shingles").join(F.broadcast(with_sets) if weight <= CELL else with_sets, "area")
+        held = shared_table(spark, mine.mapInArrow(_to_hub(percent), "doc_id long, far double, close boolean"), "held")
+        known = known.join(held.withColumnRenamed("far", "to_hub"), "doc_id", "left").withColumn("far", F.when(F.col("to_hub").isNotNull(), F.array_append("far", F.col("to_hub"))).otherwise(F.col("far")))
+        known = shared_table(spark, known.select("area", "doc_id", "sig", "label", "far", "close"), "known")
+        # all labels that hold a member linked with the hub are one
+        star = shared_table(spark, known.where("close").groupBy("area", "label").agg(F.lit(1).alias("one")), "star")
+        merged = star.groupBy("area").agg(F.min("label").alias("label_now"))
+        star = shared_table(spark, star.join(merged, "area").select("area", "label", "label_now"), "merged")
+        known = known.join(maybe_broadcast(star, star.count()), ["area", "label"], "left").select("area", "doc_id", "sig", F.coalesce("label_now", "label").alias("label"), "far")
         known = shared_table(spark, known, "known")
-        n = -(-size // BLOCK_BYTES)
-        for k in range(n):
-            block: dict[int, list] = {}
-            for r in rest.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k).toLocalIterator():
-                block.setdefault(r["area"], []).append((r["doc_id"], _as_set(bytes(r["shingles"]))))
-            links = links.unionAll(known.select("area", "doc_id", "label", "shingles").mapInArrow(_to_block(spark.sparkContext.broadcast(block), percent), "a long, b long"))
-    return components(links)
+        outside = shared_table(spark, _outside(known), "outside")
+    found = known.select(F.col("doc_id").alias("id"), F.col("label").alias("root"))
+    if outside.isEmpty():
+        return found
+    whole = shared_table(spark, sets.select("doc_id", "shingles").join(known.select("area", "doc_id", "label", "far"), "doc_id"), "whole")
+    asked = whole.join(outside.select("doc_id"), "doc_id", "left_semi")
+    parts = lambda df, name: df.groupBy("area").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("shingles") + 64) / CELL)).cast("int").alias(name))
+    grid = shared_table(spark, parts(asked, "blocks").join(parts(whole, "splits"), "area"), "grid")
+    n = grid.count()
+    pick = lambda df, own, other, is_asked: df.join(maybe_broadcast(grid, n), "area").select("area", F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), F.struct(F.lit(is_asked).alias("asked"), "doc_id", "label", "far", "shingles").alias("m"))
+    cells = pick(asked, "blocks", "splits", True).unionByName(pick(whole, "splits", "blocks", False)).groupBy("area", "blocks", "splits").agg(F.collect_list("m").alias("members"))
+    more = components(cells.select("members").mapInArrow(_cells(percent), "a long, b long")).select(F.col("id").alias("root"), F.col("root").alias("joined"))
+    more = shared_table(spark, more, "joined")
+    return found.join(maybe_broadcast(more, more.count()), "root", "left").select("id", F.coalesce("joined", "root").alias("root"))
 
 
 def groups(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reached over links), kept."""
+    with scratch(documents.sparkSession) as keep:
+        return keep(_groups(documents, percent, shingle, trees, depth), "groups")
+
+
+def _groups(documents: DataFrame, percent: int, shingle: int, trees: int, depth: int) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
