@@ -6,7 +6,7 @@ of BLOCK ids, where it starts (the index). A block holds its minimum, a width in
 that many bits each, and the exceptions: those values that don't fit, as places and full values. The
 width is that of a percentile of the block's values, raised or lowered to where the block is smallest.
 Segments lie in Parquet, written by Spark's own committer, so a lost executor's task is
-written anew, whole or not at all, to any file system; `shard` is the range of doc_ids that a task wrote and `first`
+written anew, whole or not at all, to any file system; `shard` is a range of doc_ids, written by one task, and `first`
 the ids before the segment in its shard.
 
 The payload is little-endian: header u32 ids, u32 blocks, u32 start of each block; block u32 minimum, u8 width, u8
@@ -19,22 +19,32 @@ no segment; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, worker_cache
+from .bpe import byte_alphabet
+from .common import Generations, joined, ship, slices, strings, text_bytes, worker_cache
 
 #: Ids of a block and, about, of a segment; the percentile from which the width is chosen.
 BLOCK, SEGMENT, PERCENTILE = 1024, 1 << 16, 95
-#: Entries of a worker's cache of tokenised chunks, in two generations.
-CHUNKS = 700_000
+#: Bytes of each of the two generations of a worker's cache of tokenised chunks.
+CACHE = 32 << 20
+#: Shards to a partition.
+SHARDS = 4
+#: Bytes of text, or of ids, that are worked on together.
+SLICE = 2 << 20
 
 # --- patched frame of reference -------------------------------------------------------------
 
@@ -100,40 +110,42 @@ class Library:
     """The tokenizers library's encoding of whole texts, put together from cached chunks.
 
     A byte-level pre-tokenizer always starts a new piece at a space that a non-space follows, so a
-    text may be cut there, and chunks that texts share need encoding once. New chunks are cut further where the
+    text may be cut there, and each distinct chunk of a batch is looked up once. New chunks are cut further where the
     pre-tokenizer cuts too: at a newline between two non-spaces, and between letters and one last
-    punctuation mark. What is left is encoded in long strings; a token that begins with a space begins a chunk.
-    Special tokens hold no space and stay whole.
+    punctuation mark.
+    Special tokens hold no space and stay whole. A file with another pre-tokenizer is refused.
 
     Keys of the cache are chunks without the space before them; those without one begin with
     START, which no chunk after a space does.
     """
 
-    START, NEWLINE = " ", " \n"
+    START, NEWLINE, MARKS = " ", " \n", frozenset(",.;:!?")
 
-    def __init__(self, spec: str):
+    def __init__(self, text: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        spec = json.loads(text)
+        steps = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or steps.get("type") != "ByteLevel" or steps.get("add_prefix_space") or not steps.get("use_regex", True) or spec["model"].get("type") != "BPE" or any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", [])):
+            raise ValueError("the tokenizer's file asks for other steps than a byte-level pre-tokenizer")
+        self.tokenizer = Tokenizer.from_str(text)
+        self.model = self.tokenizer.model
+        self.spelt = dict(enumerate(byte_alphabet()))
+        self.cache = Generations(CACHE)
 
-    inner, space = re.compile(r" (?:\s|$)"), re.compile(r"\s")
+    inner = re.compile(r" (?:\s|$)")
 
     def chunks(self, text: str) -> list[str]:
+        """Chunks of a text in which white space may follow a space."""
         parts = text.split(" ")
-        if self.inner.search(text):
-            whole = parts[:1]
-            for p in parts[1:]:
-                if p and not p[0].isspace():
-                    whole.append(p)
-                else:
-                    whole[-1] += " " + p
-            parts = whole
-        parts[0] = self.START + parts[0]
-        return parts
+        whole = parts[:1]
+        for p in parts[1:]:
+            if p and not p[0].isspace():
+                whole.append(p)
+            else:
+                whole[-1] += " " + p
+        whole[0] = self.START + whole[0]
+        return whole
 
     def parts(self, key: str) -> list[str]:
         """The keys that make up a key; itself, if nothing is known to cut it."""
@@ -145,51 +157,77 @@ class Library:
                 for line in lines[1:]:
                     out += [self.NEWLINE, *self.parts(self.START + line)]
                 return out
-        elif key[-1:] in ",.;:!?" and (body := key[:-1].removeprefix(self.START)).isalpha() and max(body) < "\u2c00":
-            return [key[:-1], self.START + key[-1]]
+        elif key[-1:] in self.MARKS:
+            body = key[:-1].removeprefix(self.START)
+            if self._letters(body):
+                return [key[:-1], self.START + key[-1]]
         return [key]
 
-    def _encode(self, keys: list[str]) -> None:
-        """Put keys that aren't cut into the cache."""
-        joined = [k for k in keys if k[:1] != self.START and not self.space.search(k)]
-        for a in range(0, len(joined), 2048):
-            some = joined[a : a + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + k for k in some])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
-            if len(cuts) != len(some):
-                raise ValueError("the tokenizer joins chunks across a space")
-            raw = ids.tobytes()
-            for k, i, j in zip(some, cuts, [*cuts[1:], len(raw)], strict=True):
-                self.young[k] = raw[i:j]
-        alone = [k for k in keys if k not in self.young]
-        for k, e in zip(alone, self.tokenizer.encode_batch_fast([k[1:] if k[:1] == self.START else " " + k for k in alone], add_special_tokens=False), strict=True):
-            self.young[k] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.chunks(t) for t in texts]
-        if len(self.young) > CHUNKS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        cut, new = {}, set()
-        for key in set().union(*split).difference(young):
-            if key in old:
-                young[key] = old[key]
-            elif key[-1:] in ",.;:!?" or "\n" in key:
-                parts = cut[key] = self.parts(key)
-                for x in parts:
-                    if x in young:
-                        continue
-                    if x in old:
-                        young[x] = old[x]
-                    else:
-                        new.add(x)
+    @staticmethod
+    def _letters(word: str) -> bool:
+        """Whether it is letters alone, by this Python and by any library's tables."""
+        return word.isalpha() and (word.isascii() or max(word) < "\u2c00")
+
+    def _encode(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of keys that aren't cut. Letters alone are one piece to the pre-tokenizer and go to the library's model at once."""
+        out, rest, spelt, tokenize = {}, [], self.spelt, self.model.tokenize
+        for k in keys:
+            if self._letters(k):
+                out[k] = array("I", [t.id for t in tokenize("\u0120" + (k if k.isascii() else k.encode().decode("latin-1").translate(spelt)))]).tobytes()
             else:
-                new.add(key)
-        self._encode(list(new))
-        for key, parts in cut.items():
-            if len(parts) > 1:
-                young[key] = b"".join([young[x] for x in parts])
-        return [b"".join(map(young.__getitem__, s)) for s in split]
+                rest.append(k)
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([k[1:] if k[:1] == self.START else " " + k for k in rest], add_special_tokens=False), strict=True):
+            out[k] = array("I", e.ids).tobytes()
+        return out
+
+    def learn(self, keys: list[str]) -> list[bytes]:
+        """Ids of distinct keys."""
+        done, marks = self.cache.find(keys), self.MARKS
+        new = [n for n, d in enumerate(done) if d is None]
+        cut = {keys[n]: self.parts(keys[n]) for n in new if keys[n][-1:] in marks or "\n" in keys[n]}
+        parts = list({keys[n] for n in new}.difference(cut).union(*cut.values()))
+        found = self.cache.find(parts)
+        known = dict(zip(parts, found, strict=True))
+        made = self._encode([p for p, d in zip(parts, found, strict=True) if d is None])
+        self.cache.put(made)
+        known |= made
+        get = known.__getitem__
+        whole = {key: b"".join(map(get, own)) for key, own in cut.items()}
+        self.cache.put(whole)
+        known |= whole
+        for n in new:
+            done[n] = get(keys[n])
+        return done
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text, as little-endian 32-bit integers."""
+        inner = self.inner.search
+        odd = np.array([bool(inner(t)) for t in strings(texts)], bool)
+        if odd.any():  # few: one by one
+            out: list[bytes | None] = [None] * len(texts)
+            which = np.flatnonzero(odd)
+            split = [self.chunks(texts[int(i)].as_py()) for i in which]
+            keys = list(set(chain.from_iterable(split)))
+            known = dict(zip(keys, self.learn(keys), strict=True))
+            for i, own in zip(which.tolist(), split, strict=True):
+                out[i] = b"".join(map(known.__getitem__, own))
+            rest = np.flatnonzero(~odd)
+            for i, ids in zip(rest.tolist(), self._plain(texts.take(pa.array(rest))).to_pylist(), strict=True):
+                out[i] = ids
+            return pa.array(out, pa.binary())
+        return self._plain(texts)
+
+    def _plain(self, texts: pa.Array) -> pa.Array:
+        """Texts in which no white space follows a space."""
+        split = pc.split_pattern(texts, " ")
+        first = split.offsets.to_numpy() - split.offsets[0].as_py()
+        flat = split.flatten()
+        coded = flat.dictionary_encode()
+        which = coded.indices.to_numpy().copy()
+        keys = strings(coded.dictionary)
+        heads, at = np.unique(which[first[:-1]], return_inverse=True)  # those that no space stands before
+        which[first[:-1]] = len(keys) + at
+        return joined(self.learn([*keys, *[self.START + keys[h] for h in heads]]), which, first)
 
 
 _LIBRARIES: dict[int, Library] = worker_cache()
@@ -200,6 +238,7 @@ def _library(spec) -> Library:
     if key not in _LIBRARIES:
         _LIBRARIES.clear()
         _LIBRARIES[key] = Library(spec.value)
+        gc.freeze()
     return _LIBRARIES[key]
 
 
@@ -207,29 +246,46 @@ _SEGMENT_SQL = "shard int, first long, n_ids long, doc_ids array<long>, lengths
 _SEGMENT = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def _segments(spec, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    end = np.array([end_id], "<u4").tobytes()
+def _encoded(spec, end_id: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc_id and its ids with the end, in width bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        library = _library(spec)
+        for batch in slices(batches, "text", SLICE, _LIBRARIES):
+            offsets, raw = text_bytes(library.encode(pc.fill_null(batch.column("text"), "")))
+            first = offsets // 4
+            ids = np.insert(raw.view("<u4"), first[1:], end_id).astype(f"<u{width}")
+            first = width * (first + np.arange(len(first)))
+            column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(first), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column.cast(pa.binary())], ["doc_id", "ids"])
+
+    return run
+
 
-        library, shard, first = _library(spec), TaskContext.get().partitionId(), 0
+def _segments(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (shard, doc_id, ids), in order, as segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, first = None, 0
         held: list[tuple[int | None, bytes]] = []
         size = 0
 
         def segment() -> pa.RecordBatch:
             nonlocal first, size
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            row = [[shard], [first], [len(ids)], [[d for d, _ in held]], [[len(x) // 4 for _, x in held]], [pack(ids)]]
+            ids = np.frombuffer(b"".join([x for _, x in held]), f"<u{width}")
+            row = [[shard], [first], [len(ids)], [[d for d, _ in held]], [[len(x) // width for _, x in held]], [pack(ids)]]
             first, size = first + len(ids), 0
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _SEGMENT, strict=True)], schema=_SEGMENT)
 
-        for batch in slices(batches, "text", 1 << 19, _LIBRARIES):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), library.encode(texts), strict=True):
-                held.append((doc_id, ids + end))
-                size += len(ids) // 4 + 1
+        for batch in slices(batches, "ids", SLICE):
+            for own, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
+                if own != shard:
+                    if held:
+                        yield segment()
+                    shard, first = own, 0
+                held.append((doc_id, ids))
+                size += len(ids) // width
                 if size >= SEGMENT:
                     yield segment()
         if held:
@@ -239,15 +295,26 @@ def _segments(spec, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0, shards: int | None = None) -> None:
-    """Encode doc_id, text with a tokenizers file and write segments in ascending doc_id order below path."""
+    """Encode doc_id, text with a tokenizers file and write segments in ascending doc_id order below path.
+
+    The bounds of the shards come from the doc_ids alone. Texts are encoded where they lie and only ids are dealt, by shard; there are several
+    shards to a partition, so that partitions are alike.
+    """
     spark = documents.sparkSession
     ship(spark)
     with open(tokenizer, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
+        text = f.read()
+    largest = max(end_id, *json.loads(text)["model"]["vocab"].values(), *(t["id"] for t in json.loads(text).get("added_tokens", [])))
+    width, spec = 2 if largest < 1 << 16 else 4, spark.sparkContext.broadcast(text)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(_segments(spec, end_id), _SEGMENT_SQL).write.parquet(path)
+    parts = SHARDS * n
+    edges = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts).alias("e")).first()["e"] or []
+    # bounds that repeat leave a shard empty; nulls come first
+    shard = F.coalesce(F.size(F.filter(F.lit(sorted(set(edges))).cast("array<bigint>"), lambda e: e < F.col("doc_id"))), F.lit(0)).cast("int")
+    encoded = docs.mapInArrow(_encoded(spec, end_id, width), "doc_id long, ids binary").withColumn("shard", shard)
+    ordered = encoded.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
+    ordered.select("shard", "doc_id", "ids").mapInArrow(_segments(width), _SEGMENT_SQL).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
