@@ -9,7 +9,7 @@ A found span must hold a digit or an `@`, or `at`/`dot` in any case between brac
 these needs no network. Windows of WINDOW characters overlap by half around such places. Their emissions are averaged with
 weights that favour a window's middle, and one Viterbi pass over each run of windows
 decodes it as a whole, so that no span is cut or told twice at a window's edge. A span of the
-network is kept if it passes its kind's plain check and overlaps no pattern's span, unless it takes in one of its own kind whole.
+network, grown to the ends of its words, is kept if it passes its kind's plain check and overlaps no pattern's span, unless it takes in one of its own kind whole.
 
 The patterns' spans always stay: leftmost, non-overlapping for each kind, and those that fail their check are dropped.
 
@@ -447,6 +447,18 @@ def network_spans(network: Network, texts: list[str], most: int = 4096) -> list[
     return found
 
 
+def _whole(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    """The span, grown to the ends of the words, or of the runs of digits, in which it begins and ends."""
+    held = str.isdigit if kind != "email" else lambda c: c.isalnum() or c in "_-"
+    if a < b and held(text[a]):
+        while a and (held(text[a - 1]) or kind == "email" and text[a - 1] in ".%+"):
+            a -= 1
+    if a < b and held(text[b - 1]):
+        while b < len(text) and held(text[b]):
+            b += 1
+    return a, b
+
+
 def spans(network: Network, texts: list[str]) -> list[list[tuple[str, int, int, bool]]]:
     """(kind, start, end, by a pattern), by kind and start."""
     out = []
@@ -458,6 +470,7 @@ def spans(network: Network, texts: list[str]) -> list[list[tuple[str, int, int,
                 a += 1
             while a < b and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
                 b -= 1
+            a, b = _whole(kind, text, a, b)
             if kind != "email" or _plain_check(kind, text[a:b]):
                 parts = [(a, b)]
             else:  # the network took in words beside the addresses
