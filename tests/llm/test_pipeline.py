@@ -32,3 +32,17 @@ def test_pipeline(spark, tmp_path):
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     final = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert final == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in seen["decontamination"].items()}
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows and null ids, and columns named like the operators' own."""
+    spark.createDataFrame([("b", " ".join(f"Q{k}" for k in range(12)))], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score int, lang_pred string, n_removed int, _kept string, _host string, n_words int, k1 int"
+    more = (1, "x", 2, "k", "h", 3, 4)
+    rows = [(i, sentences(200 + i, 40), "en", "s", 9, *more) for i in range(12)] + [(3, sentences(203, 40), "en", "s", 9, *more), (None, sentences(300, 40), "en", None, None, *more), (None, " ".join(f"q{k}" for k in range(12)), "en", "s", 9, *more)]
+    for some, left in (([], 0), (rows, 14)):  # the last goes for the benchmark's words; the repeated row is one document with its twin
+        at = spark.createDataFrame(some, kind)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == spark.createDataFrame([], kind).columns, name
+        assert at.count() == left and corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() == left
