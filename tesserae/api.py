@@ -101,14 +101,14 @@ class Memory:
 
     def _put_graph(self, stored: ingest.Stored, as_of: str) -> None:
         at = F.lit(as_of).cast("timestamp")
-        known = self._table("entities").select((F.unix_micros("created_at") - F.lit(1 << 62)).alias("seq"), "label", "entity_type", "confidence")
+        known = self._table("entities").select(ingest.place(F.lit(0), F.unix_micros("created_at") - F.lit(1 << 62)).alias("seq"), "label", "entity_type", "confidence")
         old = self._table("entities").select("id", text.fold_ascii(F.col("label")).alias("label_key"), "created_at")
         state = graph.entity_state(known.unionByName(stored.entities)).join(stored.entities.select(text.fold_ascii(F.col("label")).alias("label_key")).distinct(), "label_key", "left_semi")
         rows = state.join(old, "label_key", "left").select(F.coalesce("id", new_id(F.lit("entity"), F.col("label_key"))).alias("id"), "label", "entity_type", F.coalesce("created_at", at).alias("created_at"), at.alias("updated_at"), "confidence")
         self.store.put("entities", rows)
         ids = self._table("entities").select("id", text.fold_ascii(F.col("label")).alias("k"))
         new = stored.relations.withColumns({"sk": text.fold_ascii(F.col("subject")), "ok": text.fold_ascii(F.col("object"))}).join(ids.select(F.col("id").alias("subject_id"), F.col("k").alias("sk")), "sk").join(ids.select(F.col("id").alias("object_id"), F.col("k").alias("ok")), "ok").select("seq", "subject_id", "predicate", "object_id", at.alias("temporal_start"), "confidence")
-        active = scans.active(self._table("relations")).select(F.unix_micros("temporal_start").alias("seq"), "subject_id", "predicate", "object_id", "temporal_start", "confidence", F.col("id").alias("old")).join(new.select("subject_id", "predicate").distinct(), ["subject_id", "predicate"], "left_semi")
+        active = scans.active(self._table("relations")).select(ingest.place(F.lit(0), F.unix_micros("temporal_start")).alias("seq"), "subject_id", "predicate", "object_id", "temporal_start", "confidence", F.col("id").alias("old")).join(new.select("subject_id", "predicate").distinct(), ["subject_id", "predicate"], "left_semi")
         both = active.unionByName(new, allowMissingColumns=True)
         after = graph.relation_state(both).withColumn("id", F.coalesce("old", new_id(F.lit("relation"), F.col("seq"), F.col("subject_id"), F.col("predicate"), F.col("object_id"))))
         self.store.put("relations", after)

@@ -23,9 +23,9 @@ class Stored:
     results: DataFrame  # id, quality, tier, facts_stored
 
 
-def _place(n: Column) -> Column:
+def place(n: Column, seq: Column | None = None) -> Column:
     """The order of what a request stores: by request, then within it, however much it stores."""
-    return F.struct(F.col("seq").cast("long").alias("seq"), n.cast("long").alias("n"))
+    return F.struct((F.col("seq") if seq is None else seq).cast("long").alias("seq"), n.cast("long").alias("n"))
 
 
 def gate(requests: DataFrame) -> DataFrame:
@@ -42,12 +42,12 @@ def store(requests: DataFrame) -> Stored:
     rows = routed.where("tier > 0").select("id", "seq", "tier", "content", F.col("tokens").alias("token_count"), "session_id", "entities")
     buffer = routed.where("tier = 0").select("id", "seq", "session_id", "content", "tokens")
     named = routed.where(F.col("memory_type").isin("fact", "preference", "event")).select("seq", "memory_type", "confidence", F.posexplode("entities").alias("n", "label"))
-    unknown = named.where("memory_type != 'preference'").select(_place(F.col("n")).alias("seq"), "label", F.lit("unknown").alias("entity_type"), "confidence")
-    user = routed.where("memory_type = 'preference'").select(_place(F.lit(0)).alias("seq"), F.lit("User").alias("label"), F.lit("person").alias("entity_type"), F.lit(1.0).alias("confidence"))
-    liked = named.where("memory_type = 'preference'").select(_place(F.col("n") + 1).alias("seq"), "label", F.lit("unknown").alias("entity_type"), "confidence")
+    unknown = named.where("memory_type != 'preference'").select(place(F.col("n")).alias("seq"), "label", F.lit("unknown").alias("entity_type"), "confidence")
+    user = routed.where("memory_type = 'preference'").select(place(F.lit(0)).alias("seq"), F.lit("User").alias("label"), F.lit("person").alias("entity_type"), F.lit(1.0).alias("confidence"))
+    liked = named.where("memory_type = 'preference'").select(place(F.col("n") + 1).alias("seq"), "label", F.lit("unknown").alias("entity_type"), "confidence")
     fact = routed.where((F.col("memory_type") == "fact") & (F.size("entities") >= 2)).select("seq", "confidence", F.get("entities", F.lit(0)).alias("subject"), infer_predicate(F.col("content")).alias("predicate"), F.posexplode(F.slice("entities", 2, F.greatest(F.size("entities") - 1, F.lit(0)))).alias("n", "object"))
     prefers = routed.where("memory_type = 'preference'").select("seq", "confidence", F.lit("User").alias("subject"), F.lit("prefers").alias("predicate"), F.posexplode("entities").alias("n", "object"))
-    relations = fact.unionByName(prefers).select(_place(F.col("n")).alias("seq"), "subject", "predicate", "object", "confidence")
+    relations = fact.unionByName(prefers).select(place(F.col("n")).alias("seq"), "subject", "predicate", "object", "confidence")
     vectors = routed.select(F.col("id").alias("source_id"), F.col("memory_type").alias("source_type"), "confidence", "content")
     facts = F.when((F.col("memory_type") == "fact") & (F.size("entities") >= 2), F.size("entities") - 1).when(F.col("memory_type") == "preference", F.size("entities")).otherwise(0)
     results = ok.select("id", "quality", F.when(F.col("quality") != "rejected", F.coalesce(*[F.when(F.col("memory_type") == k, F.lit(v)) for k, v in TIERS.items()], F.lit(0))).cast("long").alias("tier"), F.when(F.col("quality") != "rejected", facts).otherwise(0).cast("long").alias("facts_stored"))

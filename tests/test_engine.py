@@ -243,3 +243,14 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r["n"] for r in spark.table("counts").collect()) == 60
+
+
+def test_large_requests_keep_their_order(spark):
+    """What one request stores never mixes with the next's, however much it is."""
+    text = " ".join(f"word{i}" for i in range(12))
+    names = ["Ann", *[f"e{i}" for i in range(2000)]]
+    rows = spark.createDataFrame([("a", 1, "s", text, "fact", 1.0, names), ("b", 2, "s", text, "fact", 1.0, ["Ann", "x", "y"])], "id string, seq long, session_id string, content string, memory_type string, confidence double, entities array<string>")
+    log = ingest.store(rows).relations
+    assert log.count() == 2002 and log.select("seq").distinct().count() == 2002
+    last = log.orderBy(F.desc("seq")).limit(2).collect()
+    assert [r["object"] for r in last] == ["y", "x"]
