@@ -82,7 +82,7 @@ class Anchors:
         chosen = leftmost_minima(mix(grams), window - half + 1)[starts]
         new = np.ones(len(starts), bool)
         new[1:] = chosen[1:] != chosen[:-1]
-        new |= (starts - chosen) % (1 << _MORE) == 0  # a place tells so many windows at most
+        new |= (chosen - starts + 1) % (1 << _MORE) == 0  # a place tells so many windows at most; offsets in a run fall to 0
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(starts)) - 1
         a, b, p = starts[head], starts[tail], chosen[head]

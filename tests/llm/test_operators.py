@@ -103,6 +103,19 @@ def test_substring_dedup_edges(spark, nothing):
         assert (substring_dedup.leftmost_minima(x, width) == [s + int((x[s : s + width] >> np.uint64(26)).argmin()) for s in range(len(x) - width + 1)]).all()
 
 
+def test_substring_dedup_runs(monkeypatch):
+    """A representative tells its whole run, so that one that occurs once counts once; only runs that a place can't tell are cut."""
+    texts, window = pa.array([" ".join(f"u{i}" for i in range(5000)), "a b", BASE]), 20
+    x = substring_dedup.Anchors(texts, window)
+    assert len(set(x.hash[x.text == 0].tolist())) == (x.text == 0).sum()
+    monkeypatch.setattr(substring_dedup, "_MORE", 2)
+    y = substring_dedup.Anchors(texts, window)
+    assert (y.last - y.first).max() == 3 and len(y.hash) > len(x.hash)
+    for z in (x, y):
+        places = [(t, i) for t, a, b in zip(z.text.tolist(), z.first.tolist(), z.last.tolist(), strict=True) for i in range(a, b + 1)]
+        assert places == [(0, i) for i in range(4981)] + [(2, i) for i in range(41)]
+
+
 def plain_groups(rows, percent):
     sets = {}
     for i, t, *_ in rows:
