@@ -48,8 +48,9 @@ SHINGLE, SLOTS, TREES = 5, 64, 16
 DEPTH, MISS = 6, 1e-6
 #: Rows of a task in stages whose rows are counted beforehand; the fewest tasks of these.
 TASK_ROWS, TASKS = 50_000, 8
-#: Members of a node that is compared exhaustively; how far below the threshold an estimate may lie, in standard deviations.
-NODE, DEVIATIONS = 512, 5
+#: Members of a node that is compared exhaustively, and how many of them at once with all; how far below the threshold an estimate may lie, in
+#: standard deviations.
+NODE, BLOCK, DEVIATIONS = 2048, 256, 5
 #: Members of a sample; hubs of a node; share of its sample that is near a hub, at least.
 SAMPLE, HUBS, SHARE = 48, 4, 1 / 12
 #: Members and shingles of a neighbourhood that one task confirms; hub rounds of larger ones; bytes of sets of each side of a cell.
@@ -180,14 +181,17 @@ def _near(lowest: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for n in sizes.tolist():
                 own, sig = docs[at : at + n], sigs[at : at + n]
                 at += n
-                close = (sig[:, None] == sig[None]).mean(2) >= lowest
                 root = np.arange(n)
-                for i in range(n):
-                    for j in np.flatnonzero(close[i, i + 1 :]) + i + 1:
-                        if root[i] != root[j]:
+                for k in range(0, n, BLOCK):
+                    close = (sig[k : k + BLOCK, None] == sig[None, k:]).mean(2) >= lowest
+                    for i, row in enumerate(close, k):
+                        others = np.flatnonzero(row[i - k + 1 :]) + i + 1
+                        others = others[root[others] != root[i]]
+                        while len(others):
                             a.append(own[i])
-                            b.append(own[j])
-                            root[root == root[j]] = root[i]
+                            b.append(own[others[0]])
+                            root[root == root[others[0]]] = root[i]
+                            others = others[root[others] != root[i]]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -380,7 +384,8 @@ def _neighbourhoods(reps: DataFrame, percent: int, trees: int, depth: int) -> Da
     lam = percent / 100
     lowest = _lowest(lam)
     narrow = reps.select("doc_id", "sig").mapInArrow(_narrow, "doc_id long, sig binary")
-    rows = reps.select("doc_id", "sig").mapInArrow(_descend(lam, trees, depth), _NODES)
+    # children are read twice, so they're written
+    rows = shared_table(spark, reps.select("doc_id", "sig").mapInArrow(_descend(lam, trees, depth), _NODES), "children")
     links, leaves, total, size = [], [], 0, 2 * trees * reps.count()
     for level in range(1, depth + 1):
         # written first: a join with a side that is dealt by an aggregate can't split a hot node
@@ -411,7 +416,7 @@ def _neighbourhoods(reps: DataFrame, percent: int, trees: int, depth: int) -> Da
         size = 2 * forks_for(lam, trees, depth) * rows.count()
         if not size:
             break
-        rows = rows.mapInArrow(_descend(lam, trees, depth), _NODES)
+        rows = shared_table(spark, rows.mapInArrow(_descend(lam, trees, depth), _NODES), "children")
     small = reduce(DataFrame.unionAll, leaves)
     members = narrow.join(maybe_broadcast(small, total), "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
     near = members.select("members").mapInArrow(_near(lowest), "a long, b long")

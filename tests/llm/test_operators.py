@@ -210,6 +210,42 @@ def test_near_dup_groups_of_near_copies(spark, monkeypatch, members, rounds, cel
     assert got == root
 
 
+def test_near_dup_rows_of_a_passage(spark, monkeypatch, tmp_path):
+    """A passage that all of many documents share: each goes into each tree once or twice, not down it, and children are made once."""
+    descend, log = near_dup._descend, str(tmp_path / "made")
+
+    def counted(*args):
+        inner = descend(*args)
+
+        def run(batches):
+            for batch in inner(batches):
+                with open(log, "a") as f:
+                    f.write(f"{batch.num_rows}\n")
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(near_dup, "_descend", counted)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, f"{passage} " + " ".join(f"o{k // 2}w{i}" for i in range(20 + k % 2))) for k in range(900)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 85).collect()}
+    assert got == {k: k // 2 * 2 for k in range(900)}
+    with open(log) as f:
+        made = sum(map(int, f))
+    assert 900 * near_dup.TREES <= made <= 1.5 * 900 * near_dup.TREES
+
+
+def test_near_dup_large_node():
+    """Spanning links of a node compared in blocks: two groups far apart, each whole."""
+    sig = np.random.default_rng(5).integers(0, 256, (2, near_dup.SLOTS), dtype=np.uint8)
+    n = 2 * near_dup.BLOCK + 7
+    members = [{"doc_id": i, "sig": sig[i % 2].tobytes()} for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array([members, members[:1]], pa.list_(pa.struct([("doc_id", pa.int64()), ("sig", pa.binary())])))], ["members"])
+    (out,) = near_dup._near(0.6)(iter([batch]))
+    links = list(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+    assert len(links) == n - 2 and all((a - b) % 2 == 0 for a, b in links) and {x for link in links for x in link} == set(range(n))
+
+
 BENCH = [("b1", SHARED), ("b2", "w1 w2"), ("b3", None), ("b4", " ".join(f"U{i}," for i in range(19))), ("b5", ""), ("b1x", SHARED)]
 
 
