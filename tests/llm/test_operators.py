@@ -210,7 +210,8 @@ def test_near_dup_groups_of_near_copies(spark, monkeypatch, members, rounds, cel
     assert got == root
 
 
-def test_near_dup_rows_of_a_passage(spark, monkeypatch, tmp_path):
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_dup_rows_of_a_passage(spark, monkeypatch, tmp_path, percent):
     """A passage that all of many documents share: each goes into each tree once or twice, not down it, and children are made once."""
     descend, log = near_dup._descend, str(tmp_path / "made")
 
@@ -228,7 +229,7 @@ def test_near_dup_rows_of_a_passage(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(near_dup, "_descend", counted)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(k, f"{passage} " + " ".join(f"o{k // 2}w{i}" for i in range(20 + k % 2))) for k in range(900)]
-    got = {r["doc_id"]: r["component_id"] for r in near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 85).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), percent).collect()}
     assert got == {k: k // 2 * 2 for k in range(900)}
     with open(log) as f:
         made = sum(map(int, f))
