@@ -40,11 +40,11 @@ from .common import Generations, joined, ship, slices, strings, text_bytes, work
 #: Ids of a block and, about, of a segment; the percentile from which the width is chosen.
 BLOCK, SEGMENT, PERCENTILE = 1024, 1 << 16, 95
 #: Bytes of each of the two generations of a worker's cache of tokenised chunks.
-CACHE = 80 << 20
+CACHE = 64 << 20
 #: Shards to a partition.
 SHARDS = 4
 #: Bytes of text, or of ids, that are worked on together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 # --- patched frame of reference -------------------------------------------------------------
 

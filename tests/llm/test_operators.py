@@ -4,8 +4,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +185,30 @@ def test_near_dup_recall():
         assert near_dup.missed(threshold, near_dup.TREES, near_dup.forks_for(threshold, near_dup.TREES)) <= 1e-6
 
 
+MEASURE = """
+import random, resource, sys
+import pyarrow as pa
+from tesserae.llm import token_store
+r = random.Random(3)
+syllables = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(400)]
+words = lambda n: " ".join("".join(r.choices(syllables, k=3)) for _ in range(n))
+class Spec:
+    value = open(sys.argv[1], encoding="utf-8").read()
+token_store._library(Spec)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+batches = (pa.RecordBatch.from_pydict({"doc_id": [k], "text": [words(100_000)]}) if k % 4 else pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "text": [words(100_000) for _ in range(8)]}) for k in range(24))
+for _ in token_store._encoded(Spec, 0, 2)(batches):
+    pass
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+def test_token_store_memory_of_a_worker():
+    """MB that a worker takes beside the library, on words that hardly repeat."""
+    out = subprocess.run([sys.executable, "-c", MEASURE, public_tokenizers.path("byte_bpe_50k.json")], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    assert int(out.stdout) < 300
+
+
 def near_copies(seed, base, n, changes):
     """Copies of a text with some words of it changed."""
     r, out = random.Random(seed), []
