@@ -240,7 +240,11 @@ def strings(column: pa.Array) -> list[str]:
 def joined(parts: list[bytes], which: np.ndarray, first: np.ndarray) -> pa.Array:
     """For each text the 32-bit integers of its parts, one after the other; first: where each text begins in which (one more at the end)."""
     flat = np.frombuffer(b"".join(parts), "<u4")
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    return spread(flat, np.fromiter(map(len, parts), np.int64, len(parts)) // 4, which, first)
+
+
+def spread(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The same for parts that lie one after the other in flat; sizes: how many integers each has."""
     begins = np.cumsum(sizes) - sizes
     many = sizes[which]
     ends = np.concatenate([[0], np.cumsum(many)])

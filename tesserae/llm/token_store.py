@@ -21,12 +21,12 @@ from __future__ import annotations
 
 import gc
 import json
-import re
+import os
 import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +35,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import Generations, joined, ship, slices, strings, text_bytes, worker_cache
+from .common import Generations, ship, slices, spread, strings, text_bytes, worker_cache
 
 #: Ids of a block and, about, of a segment; the percentile from which the width is chosen.
 BLOCK, SEGMENT, PERCENTILE = 1024, 1 << 16, 95
-#: Bytes of each of the two generations of a worker's cache of tokenised chunks.
-CACHE = 64 << 20
+#: Bytes of each of the two generations of a worker's cache of pieces that aren't plain words.
+CACHE = 16 << 20
+#: Characters of pieces that go to the library together.
+GROUP = 1 << 16
 #: Shards to a partition.
 SHARDS = 4
-#: Bytes of text, or of ids, that are worked on together.
-SLICE = 2 << 20
+#: Bytes of text, and of ids, that are worked on together.
+TEXTS, SLICE = 4 << 20, 2 << 20
 
 # --- patched frame of reference -------------------------------------------------------------
 
@@ -107,22 +109,20 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None, block: int =
 
 
 class Library:
-    """The tokenizers library's encoding of whole texts, put together from cached chunks.
+    """The tokenizers library's encoding of whole texts, put together from pieces.
 
-    A byte-level pre-tokenizer always starts a new piece at a space that a non-space follows, so a
-    text may be cut there, and each distinct chunk of a batch is looked up once. New chunks are cut further where the
-    pre-tokenizer cuts too: at a newline between two non-spaces, and between letters and one last
-    punctuation mark.
-    Special tokens hold no space and stay whole. A file with another pre-tokenizer is refused.
-
-    Keys of the cache are chunks without the space before them; those without one begin with
-    START, which no chunk after a space does.
+    A byte-level pre-tokenizer always starts a new piece at a space that a non-space follows, at a newline between
+    two non-spaces and after it, and between letters and one last punctuation mark. Texts are cut at these places,
+    all texts of a batch at once, by their bytes, and each distinct piece of a batch is encoded once: words of letters
+    side by side, in arrays, the others one by one, through a cache. What white space is, is told generously: where one library's tables have it and another's don't, there is no cut.
+    Special tokens hold no white space and stay whole. A file with another pre-tokenizer is refused.
     """
 
-    START, NEWLINE, MARKS = " ", " \n", frozenset(",.;:!?")
+    MARKS = frozenset(",.;:!?")
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         spec = json.loads(text)
         steps = spec.get("pre_tokenizer") or {}
@@ -130,37 +130,71 @@ class Library:
             raise ValueError("the tokenizer's file asks for other steps than a byte-level pre-tokenizer")
         self.tokenizer = Tokenizer.from_str(text)
         self.model = self.tokenizer.model
+        self.words = Tokenizer(self.model)  # the same model, for words that are one piece each
+        self.words.pre_tokenizer = CharDelimiterSplit("\n")
+        vocabulary = spec["model"]["vocab"]
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # in bytes
+        self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.alphabet = np.array([*map(ord, byte_alphabet())], "<u4")
         self.spelt = dict(enumerate(byte_alphabet()))
         self.cache = Generations(CACHE)
 
-    inner = re.compile(r" (?:\s|$)")
+    white = np.zeros(256, bool)
+    white[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+    letter = np.zeros(256, bool)
+    letter[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+    #: Of the characters of two bytes, from U+0080.
+    pairs = np.array([chr(c).isalpha() for c in range(0x80, 0x800)])
+    mark = np.zeros(256, bool)
+    mark[[*map(ord, MARKS)]] = True
+    #: White space beyond ASCII, by its first byte.
+    wide = {lead: [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace() and c.encode()[0] == lead] for lead in (0xC2, 0xE1, 0xE2, 0xE3)}
+
+    def letters(self, raw: np.ndarray) -> np.ndarray:
+        """Which bytes are those of letters of one or two bytes."""
+        out = self.letter[raw]
+        at = np.flatnonzero((raw >= 0xC2) & (raw < 0xE0))
+        at = at[self.pairs[((raw[at].astype(np.int64) & 31) << 6 | raw[at + 1] & 63) - 0x80]]
+        out[at] = out[at + 1] = True
+        return out
 
-    def chunks(self, text: str) -> list[str]:
-        """Chunks of a text in which white space may follow a space."""
-        parts = text.split(" ")
-        whole = parts[:1]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                whole.append(p)
-            else:
-                whole[-1] += " " + p
-        whole[0] = self.START + whole[0]
-        return whole
+    def cuts(self, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """Where pieces begin in the bytes of texts, and the end."""
+        size = len(raw)
+        white = self.white[raw]
+        if size and raw.max() >= 0x80:
+            for lead, chars in self.wide.items():
+                at = np.flatnonzero(raw == lead)
+                for c in chars:
+                    found = at[at <= size - len(c)]
+                    for k, byte in enumerate(c):
+                        found = found[raw[found + k] == byte]
+                    for k in range(len(c)):
+                        white[found + k] = True
+        edge = np.zeros(size + 1, bool)  # where texts begin or end
+        edge[offsets] = edge[0] = edge[size] = True
+        cut = edge.copy()
+        inner = np.flatnonzero(raw == 0x20)
+        inner = inner[~edge[inner + 1]]
+        cut[inner[~white[inner + 1]]] = True
+        inner = np.flatnonzero(raw == 0x0A)
+        inner = inner[~edge[inner] & ~edge[inner + 1]]
+        inner = inner[~white[inner - 1] & ~white[inner + 1]]
+        cut[inner] = cut[inner + 1] = True
+        if size:
+            begin = np.flatnonzero(cut)  # the end as well
+            last = begin[1:] - 1
+            ends = self.mark[raw[last]]
+            begin, last = begin[:-1][ends], last[ends]
+            begin = begin + (raw[begin] == 0x20)
+            letters = np.concatenate([[0], np.cumsum(self.letters(raw), dtype=np.int64)])
+            cut[last[(last > begin) & (letters[last] - letters[begin] == last - begin)]] = True
+        return np.flatnonzero(cut)
 
     def parts(self, key: str) -> list[str]:
-        """The keys that make up a key; itself, if nothing is known to cut it."""
-        if "\n" in key and key != self.NEWLINE:
-            lines = key.split("\n")
-            bare = [line.removeprefix(self.START) if n == 0 else line for n, line in enumerate(lines)]
-            if all(x and not x[0].isspace() and not x[-1].isspace() for x in bare):
-                out = self.parts(lines[0])
-                for line in lines[1:]:
-                    out += [self.NEWLINE, *self.parts(self.START + line)]
-                return out
-        elif key[-1:] in self.MARKS:
-            body = key[:-1].removeprefix(self.START)
-            if self._letters(body):
-                return [key[:-1], self.START + key[-1]]
+        """The pieces that make up one in which a mark follows letters, some of three bytes; itself, if nothing is known to cut it."""
+        if key[-1] in self.MARKS and self._letters(key[:-1].removeprefix(" ")):
+            return [key[:-1], key[-1]]
         return [key]
 
     @staticmethod
@@ -169,22 +203,24 @@ class Library:
         return word.isalpha() and (word.isascii() or max(word) < "\u2c00")
 
     def _encode(self, keys: list[str]) -> dict[str, bytes]:
-        """Ids of keys that aren't cut. Letters alone are one piece to the pre-tokenizer and go to the library's model at once."""
+        """Ids of keys that aren't cut. Letters alone, with or without a space before them, are one piece to the pre-tokenizer and go to the library's model at once."""
         out, rest, spelt, tokenize = {}, [], self.spelt, self.model.tokenize
         for k in keys:
-            if self._letters(k):
-                out[k] = array("I", [t.id for t in tokenize("\u0120" + (k if k.isascii() else k.encode().decode("latin-1").translate(spelt)))]).tobytes()
+            if self._letters(k.removeprefix(" ")):
+                out[k] = array("I", [t.id for t in tokenize(k if k.isascii() and k[0] != " " else k.encode().decode("latin-1").translate(spelt))]).tobytes()
             else:
                 rest.append(k)
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([k[1:] if k[:1] == self.START else " " + k for k in rest], add_special_tokens=False), strict=True):
-            out[k] = array("I", e.ids).tobytes()
+        sizes = np.cumsum([0, *map(len, rest)]) // GROUP
+        for a, b in pairwise([0, *(np.flatnonzero(np.diff(sizes[:-1])) + 1).tolist(), len(rest)]):
+            for k, e in zip(rest[a:b], self.tokenizer.encode_batch_fast(rest[a:b], add_special_tokens=False), strict=True):
+                out[k] = array("I", e.ids).tobytes()
         return out
 
     def learn(self, keys: list[str]) -> list[bytes]:
-        """Ids of distinct keys."""
-        done, marks = self.cache.find(keys), self.MARKS
+        """Ids of distinct pieces, through the cache."""
+        done = self.cache.find(keys)
         new = [n for n, d in enumerate(done) if d is None]
-        cut = {keys[n]: self.parts(keys[n]) for n in new if keys[n][-1:] in marks or "\n" in keys[n]}
+        cut = {k: own for n in new if not (k := keys[n]).isascii() and len(own := self.parts(k)) > 1}
         parts = list({keys[n] for n in new}.difference(cut).union(*cut.values()))
         found = self.cache.find(parts)
         known = dict(zip(parts, found, strict=True))
@@ -199,35 +235,51 @@ class Library:
             done[n] = get(keys[n])
         return done
 
+    def _words(self, pieces: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """Of those pieces that are letters, with or without a space before them: which they are, all their ids, and how many each has.
+
+        They go to the model side by side, as one piece each; where a word's ids end is told by the lengths of their
+        tokens. A group of which these don't add up is left out.
+        """
+        offsets, raw = text_bytes(pieces)
+        letters = np.concatenate([[0], np.cumsum(self.letters(raw), dtype=np.int64)])
+        bare = np.diff(offsets) - (raw[offsets[:-1]] == 0x20)
+        words = np.flatnonzero((bare > 0) & (np.diff(letters[offsets]) == bare))
+        sizes = np.diff(offsets)[words]
+        which, flat, many = [], [], []
+        for a, b in pairwise([0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // GROUP)) + 1).tolist(), len(words)]):
+            if a == b:
+                continue
+            own, ends = text_bytes(pieces.take(pa.array(words[a:b])))[1], np.cumsum(sizes[a:b])
+            text = np.insert(self.alphabet[own], ends[:-1], ord("\n")).tobytes().decode("utf-32-le")
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            reach = np.cumsum(self.lengths[ids])
+            last = np.searchsorted(reach, ends)
+            if len(ids) == last[-1] + 1 and (reach[last] == ends).all():
+                which.append(words[a:b])
+                flat.append(ids)
+                many.append(np.diff(last, prepend=-1))
+        return which, flat, many
+
     def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of each text, as little-endian 32-bit integers."""
-        inner = self.inner.search
-        odd = np.array([bool(inner(t)) for t in strings(texts)], bool)
-        if odd.any():  # few: one by one
-            out: list[bytes | None] = [None] * len(texts)
-            which = np.flatnonzero(odd)
-            split = [self.chunks(texts[int(i)].as_py()) for i in which]
-            keys = list(set(chain.from_iterable(split)))
-            known = dict(zip(keys, self.learn(keys), strict=True))
-            for i, own in zip(which.tolist(), split, strict=True):
-                out[i] = b"".join(map(known.__getitem__, own))
-            rest = np.flatnonzero(~odd)
-            for i, ids in zip(rest.tolist(), self._plain(texts.take(pa.array(rest))).to_pylist(), strict=True):
-                out[i] = ids
-            return pa.array(out, pa.binary())
-        return self._plain(texts)
-
-    def _plain(self, texts: pa.Array) -> pa.Array:
-        """Texts in which no white space follows a space."""
-        split = pc.split_pattern(texts, " ")
-        first = split.offsets.to_numpy() - split.offsets[0].as_py()
-        flat = split.flatten()
-        coded = flat.dictionary_encode()
-        which = coded.indices.to_numpy().copy()
-        keys = strings(coded.dictionary)
-        heads, at = np.unique(which[first[:-1]], return_inverse=True)  # those that no space stands before
-        which[first[:-1]] = len(keys) + at
-        return joined(self.learn([*keys, *[self.START + keys[h] for h in heads]]), which, first)
+        offsets, raw = text_bytes(texts)
+        if not len(raw):
+            return pa.array([b""] * len(texts), pa.binary())
+        cuts = self.cuts(offsets, raw)
+        coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
+        pieces = coded.dictionary
+        which, flat, many = self._words(pieces)
+        rest = np.ones(len(pieces), bool)
+        for own in which:
+            rest[own] = False
+        which.append(np.flatnonzero(rest))
+        parts = self.learn(strings(pieces.take(pa.array(which[-1]))))
+        flat.append(np.frombuffer(b"".join(parts), "<u4"))
+        many.append(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
+        place = np.empty(len(pieces), np.int64)
+        place[np.concatenate(which)] = np.arange(len(pieces))
+        return spread(np.concatenate(flat), np.concatenate(many), place[coded.indices.to_numpy()], np.searchsorted(cuts, offsets))
 
 
 _LIBRARIES: dict[int, Library] = worker_cache()
@@ -237,6 +289,7 @@ def _library(spec) -> Library:
     key = hash(spec.value)
     if key not in _LIBRARIES:
         _LIBRARIES.clear()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _LIBRARIES[key] = Library(spec.value)
         gc.freeze()
     return _LIBRARIES[key]
@@ -251,7 +304,7 @@ def _encoded(spec, end_id: int, width: int) -> Callable[[Iterator[pa.RecordBatch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _library(spec)
-        for batch in slices(batches, "text", SLICE, _LIBRARIES):
+        for batch in slices(batches, "text", TEXTS, _LIBRARIES):
             offsets, raw = text_bytes(library.encode(pc.fill_null(batch.column("text"), "")))
             first = offsets // 4
             ids = np.insert(raw.view("<u4"), first[1:], end_id).astype(f"<u{width}")

@@ -209,6 +209,29 @@ def test_token_store_memory_of_a_worker():
     assert int(out.stdout) < 300
 
 
+MEASURE_SLICES = """
+import random, resource, sys
+import pyarrow as pa
+from tesserae.llm import token_store
+r = random.Random(3)
+syllables = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(400)]
+words = lambda n: " ".join("".join(r.choices(syllables, k=3)) for _ in range(n))
+class Spec:
+    value = open(sys.argv[1], encoding="utf-8").read()
+token_store._library(Spec)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for _ in token_store._encoded(Spec, 0, 2)(pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "text": [words(12_500) for _ in range(8)]}) for _ in range(24)):
+    pass
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+def test_token_store_memory_does_not_grow_with_new_words():
+    """MB that a worker takes beside the library, over batches of about 1 MB whose words are new again and again."""
+    out = subprocess.run([sys.executable, "-c", MEASURE_SLICES, public_tokenizers.path("byte_bpe_50k.json")], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    assert int(out.stdout) < 100
+
+
 def near_copies(seed, base, n, changes):
     """Copies of a text with some words of it changed."""
     r, out = random.Random(seed), []
@@ -387,6 +410,22 @@ def test_token_chunks_against_library():
         token_store.Library(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
 
 
+def test_token_words_side_by_side():
+    """Letters of one, two and more bytes, marks after them, white space of every kind; words that the model takes together, and the way without."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, ours, r = tokenizers.Tokenizer.from_file(path), token_store.Library(open(path, encoding="utf-8").read()), random.Random(11)
+    alphabet = list("abXYéßÀ×÷жДλאب\u0345ʰ\u0300;٠ǀ日ー\u2c00𝔘,.;:!?'’-19\0") + [" "] * 8 + ["\n"] * 3 + list("\t\r\x1c\x85\xa0\u1680\u180e\u2003\u2028\u200b\u205f\u3000")
+    texts = ["".join(r.choices(alphabet, k=r.randint(0, 25))) for _ in range(5000)]
+    words = ["the", "été", "Über", "слово", "κόσμος", "don't", "日本", "a1", "naïve", "<|endoftext|>"]
+    texts += ["".join(r.choice(words) + r.choice(["", ",", "?!", ".\n"]) + r.choice([" ", " ", "\n", "  ", "\u3000"]) for _ in range(r.randint(0, 30))) for _ in range(1000)]
+    texts.append(" ".join(f"{a}{b}é{c}" for a in words for b in words[:4] for c in words) * 40)  # over several groups
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        for text, ids, own in zip(texts, ours.encode(pa.array(texts)).to_pylist(), expected, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == own, text
+        ours.lengths[:] = 0  # no group adds up: its words go one by one
+
+
 def test_line_dedup(spark, nothing):
     rows = [(i, f"menu\nown line {i}\n\nfooter" if i % 2 else f"own {i}\nmenu", "en", "s" if i < 20 else None) for i in range(26)] + [(90, None, "en", "s"), (91, "menu", "en", "s"), (92, "", "en", "alone"), (93, "menu\nmenu", "en", "rare")]
     got = {r["doc_id"]: r for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
