@@ -1,6 +1,6 @@
 """Tiered compression: overflow of working buffers, compression of buffers, sessions and epochs, with lineage.
 
-What a summary keeps is a prefix of the joined texts, so rows that begin beyond the token cap aren't gathered:
+What a summary keeps is a prefix of the joined texts, so rows that begin beyond the token cap, as do the separators before them, aren't gathered:
 running lengths find them, and a session's text stays within the cap however long the session is.
 """
 
@@ -22,7 +22,7 @@ def _joined_prefix(rows: DataFrame, keys: list[str], order: list[Column], separa
     w = W.partitionBy(*keys).orderBy(*order)
     before = F.sum(F.length("content") + len(separator)).over(w.rowsBetween(W.unboundedPreceding, -1))
     placed = rows.withColumns({"_before": F.coalesce(before, F.lit(0)), "_k": F.row_number().over(w)})
-    near = F.col("_before") < 4 * budget
+    near = F.col("_before") < 4 * budget + len(separator)  # the cap may fall on the separator before a row
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(near, F.struct("_k", "content")))), lambda x: x["content"]), separator)
     return placed.groupBy(*keys).agg(truncate_tokens(body, budget).alias("content"), F.count(F.lit(1)).alias("original_count"), F.sum("tokens").cast("long").alias("original_tokens"))
 
