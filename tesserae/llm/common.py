@@ -1,11 +1,8 @@
-"""Helpers shared by the operators of this folder: shared tables, shipping of code, word hashing."""
+"""Helpers shared by the operators of this folder: shared tables, word hashing."""
 
 from __future__ import annotations
 
-import os
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.sources import workspace
+from tesserae.sources.workspace import BATCH_BYTES, ship  # noqa: F401
 
 #: Rows of a broadcast side; at 16 to 32 bytes a row that is a few MB. Larger sides are shuffled.
 BROADCAST_ROWS = 300_000
@@ -23,31 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --- code on the executors ------------------------------------------------------------------
-
-
-#: Bytes of a batch that goes to a Python worker, about; Spark's own bound is eight times that.
-BATCH_BYTES = 8 << 20
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, for clusters on which it isn't installed; bound the batches for Python by bytes."""
-    sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    if getattr(sc, "_tesserae_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    if str(root.parent) not in os.environ.get("PYTHONPATH", "").split(":") and root.parent.is_dir():
-        import tempfile
-
-        place = Path(tempfile.mkdtemp(prefix="tesserae-")) / "tesserae_code.zip"  # served by the driver, not shared by path
-        with zipfile.ZipFile(place, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(place))
-    sc._tesserae_shipped = True
-
-
 # --- tables ---------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.text import fold_ascii, to_fixed
 from tesserae.operators.scans import active
-from tesserae.sources.workspace import shared_table
+from tesserae.sources.workspace import shared_table, ship
 
 # --- folds of logs --------------------------------------------------------------------------
 
@@ -28,25 +28,39 @@ def relation_state(log: DataFrame) -> DataFrame:
 
     A new relation closes the oldest active one of its subject and predicate, if that has another object: its
     end is then the new one's start and its confidence halves. With the same object nothing is closed and both stay.
-    As a queue: push always, pop the head exactly if its object differs. Runs of equal objects are what the
-    queue keeps, so all but the last of a run's neighbours must be known: a fold over a key's relations, as ids.
+    As a queue: push always, pop the head exactly if its object differs. A key's relations are streamed in order, and
+    only what is still in its queue is held, as ids; a null object closes nothing and isn't closed.
     """
+    ship(log.sparkSession)
+    log = shared_table(log, "relations")  # read twice
     kind = log.schema["seq"].dataType.simpleString()
-    grouped = log.groupBy("subject_id", "predicate").agg(F.array_sort(F.collect_list(F.struct("seq", "object_id"))).alias("xs"))
-    # the queue is a range of the sorted list, so its head's index is all that the fold carries
-    zero = F.struct(F.lit(0).alias("head"), F.array().cast(f"array<struct<seq:{kind},by:{kind}>>").alias("ended"))
-
-    def step(acc: Column, i: Column) -> Column:
-        head, x = F.get(F.col("xs"), acc["head"]), F.get(F.col("xs"), i)
-        pops = (acc["head"] < i) & (head["object_id"] != x["object_id"])
-        return F.struct(F.when(pops, acc["head"] + 1).otherwise(acc["head"]).alias("head"), F.when(pops, F.concat(acc["ended"], F.array(F.struct(head["seq"].alias("seq"), x["seq"].alias("by"))))).otherwise(acc["ended"]).alias("ended"))
-
-    ended = grouped.select(F.explode(F.aggregate(F.sequence(F.lit(0), F.size("xs") - 1), zero, step)["ended"]).alias("e")).select(F.col("e.seq").alias("seq"), F.col("e.by").alias("by"))
-    closers = log.select(F.col("seq").alias("by"), F.col("temporal_start").alias("temporal_end"))
-    closed = ended.join(closers, "by").select("seq", "temporal_end")
+    rows = log.select("subject_id", "predicate", "seq", "object_id", F.col("temporal_start").cast("timestamp").alias("at"))
+    sorted_rows = rows.repartition("subject_id", "predicate").sortWithinPartitions("subject_id", "predicate", "seq")
+    closed = sorted_rows.mapInArrow(_closed, f"seq {kind}, temporal_end timestamp")
     return log.join(closed, "seq", "left").withColumn("confidence", F.when(F.col("temporal_end").isNotNull(), F.col("confidence") * 0.5).otherwise(F.col("confidence")))
 
 
+def _closed(batches):
+    """Of rows in order of subject, predicate and seq: each one that a later one closes, with the start of that one."""
+    from collections import deque
+
+    import pyarrow as pa
+
+    key, queue = None, deque()
+    for batch in batches:
+        columns = [batch.column(k) for k in range(5)]
+        seqs, ends = [], []
+        for subject, predicate, seq, other, at in zip(*(c.to_pylist() if k < 4 else range(len(c)) for k, c in enumerate(columns)), strict=True):
+            if (subject, predicate) != key:
+                key, queue = (subject, predicate), deque()
+            if queue and None not in (queue[0][0], other) and queue[0][0] != other:
+                seqs.append(queue.popleft()[1])
+                ends.append(at)
+            queue.append((other, seq))
+        ended = columns[4].take(pa.array(ends, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(seqs, columns[2].type), ended], names=["seq", "temporal_end"])
+
+
 # --- reads ----------------------------------------------------------------------------------
 
 

@@ -1,12 +1,15 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares, and this package on its executors."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +73,25 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         for path in paths:
             if path not in kept:
                 _remove(spark.sparkContext, path)
+
+
+#: Bytes of a batch that goes to a Python worker, about; Spark's own bound is eight times that.
+BATCH_BYTES = 8 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, for clusters on which it isn't installed; bound the batches for Python by bytes."""
+    sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if getattr(sc, "_tesserae_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    if str(root.parent) not in os.environ.get("PYTHONPATH", "").split(":") and root.parent.is_dir():
+        import tempfile
+
+        place = Path(tempfile.mkdtemp(prefix="tesserae-")) / "tesserae_code.zip"  # served by the driver, not shared by path
+        with zipfile.ZipFile(place, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(place))
+    sc._tesserae_shipped = True
