@@ -14,6 +14,8 @@ from tesserae.config import DEFAULTS
 from tesserae.functions.text import estimate_tokens, to_fixed, truncate_tokens
 from tesserae.sources.store import new_id
 
+#: Shares in which lengths are placed, each by a task.
+SHARES = 64
 _B, _C = DEFAULTS["token_budgets"], DEFAULTS["compression"]
 
 
@@ -46,12 +48,19 @@ def archive(buffer: DataFrame, budget: int = _B["session"]) -> DataFrame:
 def _newest(summaries: DataFrame, budget: int, separator: str, per_session: bool) -> DataFrame:
     tier1 = summaries.where("tier = 1").withColumn("tokens", F.col("token_count"))
     newest = [F.desc("created_at"), F.col("id")]
+    keys = ["session_id"] if per_session else []
+    # what can't reach the cap within a share of the rows can't among all: lengths are placed by share first, then those left by key
+    light = tier1.select(*keys, "id", "created_at", (F.length("content") + len(separator)).alias("_n")).withColumn("_share", F.pmod(F.xxhash64("id"), F.lit(SHARES)))
+    for by in ([*keys, "_share"], keys or [F.lit(1)]):
+        before = F.sum("_n").over(W.partitionBy(*by).orderBy(*newest).rowsBetween(W.unboundedPreceding, -1))
+        light = light.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < 4 * budget + len(separator))
+    reached = light.select("id").distinct()
+    texts = tier1.join(reached if per_session else F.broadcast(reached), "id", "left_semi").withColumn("_all", F.lit(1))
+    counts = tier1.groupBy(*keys).agg(F.count(F.lit(1)).alias("original_count"), F.sum("tokens").cast("long").alias("original_tokens"))
+    joined = _joined_prefix(texts, keys or ["_all"], newest, separator, budget).select(*keys, "content")
     if per_session:
-        return _joined_prefix(tier1, ["session_id"], newest, separator, budget)
-    # over all sessions: no more rows can reach the cap than it has characters for separators
-    counts = tier1.agg(F.count(F.lit(1)).alias("original_count"), F.sum("tokens").cast("long").alias("original_tokens"))
-    top = tier1.orderBy(*newest).limit(4 * budget // len(separator) + 1).withColumn("_all", F.lit(1))
-    return _joined_prefix(top, ["_all"], newest, separator, budget).select("content").crossJoin(F.broadcast(counts)).withColumn("session_id", F.lit(None).cast("string"))
+        return joined.withColumnRenamed("session_id", "_session").join(counts, F.col("_session").eqNullSafe(F.col("session_id"))).drop("_session")
+    return joined.crossJoin(F.broadcast(counts)).withColumn("session_id", F.lit(None).cast("string"))
 
 
 def compress_session(summaries: DataFrame, per_session: bool = False, budget: int = 2 * _B["session"]) -> DataFrame:
