@@ -11,9 +11,9 @@ from tesserae.sources.workspace import shared_table
 
 def word_classes(df: DataFrame, group: str, key: str) -> DataFrame:
     """(group, key, set_id) for rows with a non-empty `words`: rows of a group with equal word sets share the smallest key."""
-    sized = df.where(F.size("words") > 0).select(group, key, F.array_sort("words").alias("words"))
+    sized = df.where(F.size("words") > 0).select(group, key, F.sort_array("words").alias("words"))
     digest = F.sha2(F.array_join("words", "\u0001"), 256)
-    marked = sized.withColumn("digest", digest)
+    marked = shared_table(sized.select(group, key, digest.alias("digest")), "digests")
     return marked.join(marked.groupBy(group, "digest").agg(F.min(key).alias("set_id")), [group, "digest"]).select(group, key, "set_id")
 
 
@@ -28,7 +28,7 @@ def similar_pairs(df: DataFrame, group: str, key: str, threshold: float) -> Data
         raise ValueError("the threshold is above 0 and at most 1")
     words = shared_table(df.where(F.size("words") > 0).select(group, F.col(key).alias("k"), F.explode("words").alias("word")), "words")
     often = shared_table(words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")).withColumn("w", F.monotonically_increasing_id()), "word-numbers")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("freq", "w"))), lambda x: x["w"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("freq", "w"))), lambda x: x["w"])
     sets = shared_table(words.join(often, "word").groupBy(group, "k").agg(ordered.alias("ws")), "word-sets")
     n = F.size("ws")
     short = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")

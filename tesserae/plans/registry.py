@@ -80,7 +80,7 @@ def fits_in_budget(spark, d):
 @query(S.WORD_JACCARD_PAIRS)
 def word_jaccard_pairs(spark, d):
     """Pairs of class representatives, and each further member of a class with its representative."""
-    t = X.read(spark, d, "documents").select("source", "doc_id", text.word_set(F.col("text")).alias("words"))
+    t = shared_table(X.read(spark, d, "documents").select("source", "doc_id", text.word_set(F.col("text")).alias("words")), "word-lists")
     classes = shared_table(similarity.word_classes(t, "source", "doc_id"), "word-classes")
     first = classes.where("doc_id = set_id").select("source", "doc_id")
     pairs = similarity.similar_pairs(t.join(first, ["source", "doc_id"], "left_semi"), "source", "doc_id", 0.85)
